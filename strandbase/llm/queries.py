@@ -24,8 +24,8 @@ ORACLE_SQL = {
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce('h' || source, 'null') AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), x -> x <> '') AS ws,
-         list_filter(string_split(t, chr(10)), x -> regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS ls,
+  SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS ls,
          regexp_replace(t, '{_SPACE}', '', 'g') AS bare
   FROM d
 ), g AS (
