@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import tempfile
+import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -246,9 +247,17 @@ def _worker(path: str, blob, size: int) -> dict[str, tuple[int, str, str]]:
     return Known()
 
 
+_workers: dict[tuple, dict] = {}
+
+
 def _make(path: str, blob, size: int, full: bool) -> Callable:
+    key = (path, size, uuid.uuid4().hex)
+
     def make() -> Callable:
-        known = _worker(path, blob, size)
+        if key not in _workers:  # a worker's next tasks find what it has learned; one cache at a time
+            _workers.clear()
+            _workers[key] = _worker(path, blob, size)
+        known = _workers[key]
 
         def one(text: bytes | None) -> tuple:
             got = [x for x in map(known.__getitem__, words_of(str(text or b"", "utf-8", "replace"))) if x[0]]
