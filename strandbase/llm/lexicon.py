@@ -1,27 +1,29 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-A first pass over all texts finds frequent words (runs without a space). They and their ids are compiled into
-a minimal acyclic automaton that shares suffixes; a path through it adds up to the word's number, and the
-number gives the ids. The automaton is one run of bytes: broadcast, written to a file by each worker and
-memory-mapped. Words that it doesn't hold are normalised, cut and merged exactly by rank. Since the
-pre-tokenizer never crosses white space, words can be encoded one by one; words that hold an added token's
-text go to the library whole.
+A first pass over all texts finds frequent words (pre-tokens after normalisation). They and their ids are
+compiled into a minimal acyclic automaton that shares suffixes; a path through it adds up to the word's
+number, and the number gives the ids. The automaton is one run of bytes: broadcast, written to a file by each
+worker and memory-mapped. Words that it doesn't hold are merged exactly. Texts of the scripts in _PLAIN are
+cut by one pattern; others are normalised and cut by the library between their spaces, which no word crosses.
+Texts of added tokens are taken out first, as the library does.
 
 Decoding joins the ids' pieces by the model's decoder; word_bpe_49k.json names none, so pieces are joined by
 one space, as the library does.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded one
-by one; a very long text is handled word by word, and a word of over MERGE_LIMIT symbols by the library.
+by one; a very long text is handled word by word.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import mmap
 import os
 import re
 import struct
 import tempfile
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -33,14 +35,10 @@ from pyspark.sql import types as T
 from . import common
 from .tokencount import frequent_words
 
-WORDS, CACHE, MERGE_LIMIT = 32_768, 300_000, 128
+WORDS, CACHE = 32_768, 800_000
 _MAGIC = b"MAT1"
 
 
-def words_of(text: str) -> list[str]:
-    return text.split(" ")
-
-
 # ---- the automaton -------------------------------------------------------------------------------------
 
 
@@ -114,7 +112,7 @@ def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
         flat.extend(ids)
         starts.append(len(flat))
     parts = [begin.tobytes(), targets.tobytes(), before.tobytes(), starts.tobytes(), flat.tobytes(), bytes(ends), bytes(labels)]
-    return _MAGIC + struct.pack("<7I", *map(len, parts)) + b"".join(parts)
+    return _MAGIC + struct.pack("<8I", max((len(w) for w, _ in keyed), default=0), *map(len, parts)) + b"".join(parts)
 
 
 class Lexicon:
@@ -127,8 +125,8 @@ class Lexicon:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if self.map[:4] != _MAGIC:
             raise ValueError("not a lexicon")
-        sizes = struct.unpack("<7I", self.map[4:32])
-        view, at, parts = memoryview(self.map), 32, []
+        self.longest, *sizes = struct.unpack("<8I", self.map[4:36])
+        view, at, parts = memoryview(self.map), 36, []
         for n in sizes:
             parts.append((at, view[at : at + n]))
             at += n
@@ -138,6 +136,8 @@ class Lexicon:
     def number(self, word: bytes) -> int | None:
         """The word's place among the sorted words, or None."""
         state = total = 0
+        if len(word) > self.longest:
+            return None
         for k in range(len(word)):
             at = self.map.find(word[k : k + 1], self.labels + self.begin[state], self.labels + self.begin[state + 1])
             if at < 0:
@@ -155,6 +155,23 @@ class Lexicon:
 # ---- exact merging ------------------------------------------------------------------------------------
 
 
+#: Letters of scripts where normal forms, lower case and classes are those of single characters.
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte alphabet: printable bytes stand for themselves, the others follow from U+0100 on in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+def _latin_cut(pattern: str) -> re.Pattern:
+    """The pre-tokenizer's pattern with its classes spelled out for the letters of _PLAIN."""
+    kinds = {k: "".join(re.escape(chr(c)) for c in range(0x21, 0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    return re.compile(pattern.replace(r"[\p{N}]", f"[{kinds['N']}]").replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]))
+
+
 class Codec:
     """Encodes single words as the library does, from the tokenizer's own file."""
 
@@ -169,61 +186,49 @@ class Codec:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.model = self.library.model
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.bytes = _byte_letters()
+        self.letters = {ord(c): b for b, c in self.bytes.items()}
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
-        # for ASCII words the pattern's classes are plain; other words are cut by the library
-        self.ascii = re.compile(split.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")) if split else None
-        self.known: dict[str, list[int]] = {}
+        self.cut = _latin_cut(split) if split else None
 
     def merge(self, word: str) -> list[int]:
-        """Merge a pre-token's symbols, best rank first, leftmost first among equals."""
-        if len(word) > MERGE_LIMIT:
-            return [t.id for t in self.library.model.tokenize(word)]
-        parts = list(word)
-        parts[-1] += self.suffix
-        if any(p not in self.vocab for p in parts):
-            return [t.id for t in self.library.model.tokenize(word)]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, 0
-            for k in range(len(parts) - 1):
-                r = rank((parts[k], parts[k + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, k
-            if best is None:
-                break
-            a, b = parts[at], parts[at + 1]
-            k = at
-            while k < len(parts) - 1:  # every place of that pair, from the left
-                if parts[k] == a and parts[k + 1] == b:
-                    parts[k : k + 2] = [a + b]
-                k += 1
-        return [self.vocab[p] for p in parts]
-
-    def pretokens(self, word: str) -> list[str]:
-        if self.ascii is not None and word.isascii() and word.isprintable():
-            return self.ascii.findall(word.lower())
-        normal = self.library.normalizer.normalize_str(word) if self.library.normalizer else word
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        """The word's ids by the model's own merges; words are put into the byte alphabet first."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def words(self, text: str) -> list[str]:
+        """The text's words: normalised pre-tokens and added tokens, in order."""
+        if self.special is not None and "<|" in text and self.special.search(text):
+            parts = self.special.split(text)
+            return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.words(p))]
+        if self.cut is not None and _PLAIN.fullmatch(text):
+            return self.cut.findall(text.lower())
+        out: list[str] = []
+        for run in text.split(" "):
+            if self.cut is not None and _PLAIN.fullmatch(run):
+                out += self.cut.findall(run.lower())
+                continue
+            normal = self.library.normalizer.normalize_str(run) if self.library.normalizer else run
+            out += [p.translate(self.letters).encode("latin-1").decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return out
 
     def encode(self, word: str) -> list[int]:
-        """Ids of a word without spaces, exactly as the library has them."""
-        if "<" in word and any(a in word for a in self.added):
-            return self.library.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for p in self.pretokens(word):
-            ids = self.known.get(p)
-            if ids is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                ids = self.known[p] = self.merge(p)
-            out += ids
-        return out
+        """Ids of one word of words()."""
+        return [self.added[word]] if word in self.added else self.merge(word)
+
+
+_codecs: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
 
 
 def _worker(path: str, blob, size: int) -> dict[str, tuple[int, str, str]]:
@@ -232,7 +237,7 @@ def _worker(path: str, blob, size: int) -> dict[str, tuple[int, str, str]]:
     class Known(dict):
         def __init__(self) -> None:
             super().__init__()
-            self.lexicon, self.codec = Lexicon(blob.value), Codec(path)
+            self.lexicon, self.codec = Lexicon(blob.value), codec(path)
 
         def __missing__(self, word: str) -> tuple[int, str, str]:
             ids = self.lexicon.get(word)
@@ -260,10 +265,9 @@ def _make(path: str, blob, size: int, full: bool) -> Callable:
         known = _workers[key]
 
         def one(text: bytes | None) -> tuple:
-            got = [x for x in map(known.__getitem__, words_of(str(text or b"", "utf-8", "replace"))) if x[0]]
-            n = sum([x[0] for x in got])
-            ids = " ".join([x[1] for x in got])
-            decoded = " ".join([x[2] for x in got])
+            got = list(map(known.__getitem__, known.codec.words(str(text or b"", "utf-8", "replace"))))
+            sizes, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
+            n, ids, decoded = sum(sizes), " ".join(ids), " ".join(decoded)
             if full:
                 return n, [int(i) for i in ids.split()], decoded
             return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
@@ -275,8 +279,12 @@ def _make(path: str, blob, size: int, full: bool) -> Callable:
 
 def build(df: DataFrame, path: str, text: str = "text", size: int = WORDS) -> bytes:
     """The lexicon of df's frequent words under the tokenizer of `path`."""
-    codec = Codec(path)
-    return compile_lexicon({w: codec.encode(w) for w in frequent_words(df, text, size, words_of)})
+    own = codec(path)
+    return compile_lexicon({w: own.encode(w) for w in frequent_words(df, text, size, functools.partial(_words, path))})
+
+
+def _words(path: str, text: str) -> list[str]:
+    return codec(path).words(text)
 
 
 def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", full: bool = True, size: int = WORDS, cache: int = CACHE) -> DataFrame:
