@@ -3,7 +3,7 @@
 A first pass over all texts finds frequent words (pre-tokens after normalisation). They and their ids are
 compiled into a minimal acyclic automaton that shares suffixes; a path through it adds up to the word's
 number, and the number gives the ids. The automaton is one run of bytes: broadcast, written to a file by each
-worker and memory-mapped. Words that it doesn't hold are merged exactly. Texts of the scripts in _PLAIN are
+worker and memory-mapped. Words that it doesn't hold are merged exactly. Texts of the scripts in PLAIN are
 cut by one pattern; others are normalised and cut by the library between their spaces, which no word crosses.
 Texts of added tokens are taken out first, as the library does.
 
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 from .tokencount import frequent_words
 
-WORDS, CACHE = 32_768, 800_000
+WORDS, CACHE = 32_768, 400_000
 _MAGIC = b"MAT1"
 
 
@@ -156,20 +156,20 @@ class Lexicon:
 
 
 #: Letters of scripts where normal forms, lower case and classes are those of single characters.
-_PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The byte alphabet: printable bytes stand for themselves, the others follow from U+0100 on in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     other = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-def _latin_cut(pattern: str) -> re.Pattern:
-    """The pre-tokenizer's pattern with its classes spelled out for the letters of _PLAIN."""
+def latin_cut(pattern: str) -> re.Pattern:
+    """The pre-tokenizer's pattern with its classes spelled out for the letters of PLAIN."""
     kinds = {k: "".join(re.escape(chr(c)) for c in range(0x21, 0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-    return re.compile(pattern.replace(r"[\p{N}]", f"[{kinds['N']}]").replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]))
+    return re.compile(pattern.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]))
 
 
 class Codec:
@@ -190,10 +190,10 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
-        self.bytes = _byte_letters()
+        self.bytes = byte_letters()
         self.letters = {ord(c): b for b, c in self.bytes.items()}
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
-        self.cut = _latin_cut(split) if split else None
+        self.cut = latin_cut(split) if split else None
 
     def merge(self, word: str) -> list[int]:
         """The word's ids by the model's own merges; words are put into the byte alphabet first."""
@@ -206,11 +206,11 @@ class Codec:
         if self.special is not None and "<|" in text and self.special.search(text):
             parts = self.special.split(text)
             return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.words(p))]
-        if self.cut is not None and _PLAIN.fullmatch(text):
+        if self.cut is not None and PLAIN.fullmatch(text):
             return self.cut.findall(text.lower())
         out: list[str] = []
         for run in text.split(" "):
-            if self.cut is not None and _PLAIN.fullmatch(run):
+            if self.cut is not None and PLAIN.fullmatch(run):
                 out += self.cut.findall(run.lower())
                 continue
             normal = self.library.normalizer.normalize_str(run) if self.library.normalizer else run

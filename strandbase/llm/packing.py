@@ -26,17 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .lexicon import PLAIN, byte_letters, latin_cut
 
-LENGTH, END_ID, CACHE = 1024, 0, 500_000
+LENGTH, END_ID, CACHE = 1024, 0, 300_000
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
-_ROUGH = re.compile(r"\s\s|^\s|\s$")
+#: The pre-tokenizer's pattern, a fixed value of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class WordIds(dict):
-    """Ids, as little-endian bytes, of ' word' for each word that stands behind a single space.
+    """Ids, as little-endian bytes, of a pre-token with its leading space; a bounded cache that only saves work.
 
-    The pre-tokenizer always cuts before a space between two characters that aren't white space, so a text's
-    ids are those of its words one behind the other. The cache is bounded and only saves work.
+    Texts of the scripts that lexicon.PLAIN names are cut by one pattern. Others are cut where a single space
+    stands between two characters that aren't white space, which no pre-token crosses, and encoded by the
+    library, as are texts that hold an added token.
     """
 
     def __init__(self, path: str, size: int) -> None:
@@ -47,8 +50,12 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.kind = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 65536 else "I"
         self.size = size
+        self.bytes = byte_letters()
+        self.cut = latin_cut(PATTERN)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def raw(self, text: str) -> bytes:
         return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -56,14 +63,18 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.size:
             self.clear()
-        ids = self[word] = self.raw(" " + word)
+        ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
         return ids
 
     def of(self, text: str) -> bytes:
         if not text:
             return b""
-        words = _SINGLE.split(text) if _ROUGH.search(text) else text.split(" ")
-        return self.raw(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+        if any(a in text for a in self.added):
+            return self.raw(text)
+        if PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, self.cut.findall(text)))
+        first, *rest = _SINGLE.split(text)
+        return b"".join([self.raw(first), *(self.raw(" " + w) if not PLAIN.fullmatch(w) else b"".join(map(self.__getitem__, self.cut.findall(" " + w))) for w in rest)])
 
 
 _words: dict[tuple, WordIds] = {}
