@@ -119,9 +119,12 @@ def learn(df: DataFrame, train: Column | None = None, doc_id: str = "doc_id", te
     rows = df.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.where(train) if train is not None else rows
     rows = rows.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
+    keys = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    # each language's share of hashes holds about twice the sample, so that ranking sees few rows of any language
+    share = keys.groupBy("lang").agg((F.lit(2.0 * sample_docs) / F.count(F.lit(1))).alias("share"))
+    near = keys.join(common.maybe_broadcast(share), "lang").where((F.col("h") / 2.0**63 + 1) / 2 < F.col("share"))
     order = Window.partitionBy("lang").orderBy("h", "id")
-    # row_number() under a limit is cut in each task before the shuffle
-    chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("id", "lang").distinct()
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("id", "lang").distinct()
 
     def count(batches):
         for b in batches:
