@@ -85,6 +85,7 @@ def per_row(df: DataFrame, make: Callable, fields: list[tuple[str, T.DataType]],
                 out = f(part.column(part.num_columns - 1).to_pylist())
                 made = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 
@@ -94,7 +95,7 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return pa.list_(arrow_type(t.elementType)) if isinstance(t, T.ArrayType) else plain[type(t)]
 
 
-def sliced(b: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that few pieces hold more than `most` bytes; a single huge row stays whole."""
     n = max(1, -(-b.nbytes // most))
     step = max(1, -(-b.num_rows // n))

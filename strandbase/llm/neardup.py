@@ -32,7 +32,7 @@ from . import common
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most sets in a block, and most n-grams in a block of several sets.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
-WORDS_CACHE = 500_000
+WORDS_CACHE = 65_536
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 2048
 _SPACED = re.compile(r"[\W_]+")
@@ -116,6 +116,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: in
                 sets = [g.grams(t) for t in part.column(1).to_pylist()]
                 cols = [part.column(0), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([g.signature(x) for x in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "grams", "bands"])
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, f"doc_id {kind}, fp binary, grams long, bands array<long>")
 
@@ -131,6 +132,7 @@ def full_sets(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             for part in common.sliced(b, 4 << 20):
                 sets = [g.grams(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "fp", "set"])
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, f"doc_id {kind}, fp binary, set binary")
 
@@ -237,6 +239,7 @@ def _verify(threshold: float):
                 yield flush()
         if a:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return run
 

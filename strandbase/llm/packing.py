@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 from .lexicon import PLAIN, byte_letters, latin_cut
 
-LENGTH, END_ID, CACHE = 1024, 0, 300_000
+LENGTH, END_ID, CACHE = 1024, 0, 150_000
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: The pre-tokenizer's pattern, a fixed value of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,7 +97,7 @@ def tokenized(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         words, start, part = _word_ids(path, cache), 0, TaskContext.get().partitionId()
         end = array(words.kind, [end_id]).tobytes()
         for b in batches:
-            for piece in common.sliced(b, 8 << 20):
+            for piece in common.sliced(b):
                 ids = [words.of(str(t or b"", "utf-8", "replace")) + end for t in piece.column(1).to_pylist()]
                 n = np.array([len(x) // len(end) for x in ids], np.int64)
                 starts = start + np.cumsum(n) - n
