@@ -18,7 +18,7 @@ from .plans import index as ix
 from .plans.store import stored
 from .sources import sinks
 
-K, SMALL_K, SMALL_M = 31, 15, 7
+K, SMALL_K, SMALL_M, LINK_K = 31, 15, 7, 9
 THRESHOLD = 0.7
 _memo: dict[tuple, object] = {}
 
@@ -239,6 +239,14 @@ def _pieces(spark, d):
     return _once(spark, ("pieces", d), lambda: stored(unitigs.colored_unitigs(passage_index(spark, d)), "pieces"))
 
 
+def _branching(spark, d):
+    def make():
+        x = ix.build(passages(spark, d).select(F.lit(0).cast("long").alias("color"), "seq"), LINK_K)
+        return stored(unitigs.colored_unitigs(x), "branching")
+
+    return _once(spark, ("branching", d), make)
+
+
 def unitig_kmers(spark, d):
     """The k-mers of the colored unitigs with their sets: the index again, whatever the segmentation."""
     x = passage_index(spark, d)
@@ -252,13 +260,13 @@ def unitig_stats(spark, d):
 
 
 def gfa_links(spark, d):
-    """How many links of each pair of signs the passages' colored unitigs have."""
-    return unitigs.gfa_links(_pieces(spark, d), K).groupBy("from_sign", "to_sign").agg(F.count(F.lit(1)).alias("n"))
+    """How many links of each pair of signs the passages' colored unitigs have, for a k short enough to branch."""
+    return unitigs.gfa_links(_branching(spark, d), LINK_K).groupBy("from_sign", "to_sign").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gfa_lines(spark, d):
-    rows = _pieces(spark, d)
-    return sinks.gfa_lines(rows, unitigs.gfa_links(rows, K), K)
+    rows = _branching(spark, d)
+    return sinks.gfa_lines(rows, unitigs.gfa_links(rows, LINK_K), LINK_K)
 
 
 def import_export(spark, d):
