@@ -93,7 +93,7 @@ def rules(symbol_rate: float, line_rate: float, shout_rate: float, word_length:
 
 
 #: Limits of the documents' own rules.
-LIMITS = {"symbol_rate": 0.3, "line_rate": 0.3, "shout_rate": 0.5, "word_length": (2.0, 20.0)}
+LIMITS = {"symbol_rate": 0.2, "line_rate": 0.5, "shout_rate": 0.5, "word_length": (2.0, 20.0)}
 
 
 def host_key(host: str) -> Column:

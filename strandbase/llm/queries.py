@@ -42,7 +42,7 @@ WITH d AS (
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), v AS (
-  SELECT *, base_failed OR n_symbols > 0.3::DOUBLE * n_words OR n_dup_lines > 0.3::DOUBLE * n_lines OR n_upper > 0.5::DOUBLE * n_letters
+  SELECT *, base_failed OR n_symbols > 0.2::DOUBLE * n_words OR n_dup_lines > 0.5::DOUBLE * n_lines OR n_upper > 0.5::DOUBLE * n_letters
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS failed
   FROM f
 ), h AS (
