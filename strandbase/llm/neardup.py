@@ -13,7 +13,9 @@ Result: doc_id, class_id (the least doc_id of its class) and n_links (how many o
 at least the threshold, copies included).
 
 Defined cases: null and empty texts, and texts without a word, have the empty set; empty sets are alike;
-repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored.
+repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored. Rows
+with a null id are linked like others and take their class's least id, which is null if no member has one;
+keep_one() can't tell such rows apart, so it keeps them all.
 """
 
 from __future__ import annotations
@@ -280,9 +282,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     reps = met.select("fp").distinct().join(sets.select("fp", "rep", "bands"), "fp")
     reps = common.stored(reps, "reps")
     # only texts of sets that met are read again; a repeated id may bring other texts, which fp sorts out
-    wanted = common.maybe_broadcast(reps.select(F.col("rep").alias(doc_id)).distinct())
-    own = full_sets(df.select(doc_id, text).join(wanted, doc_id, "left_semi"), doc_id, text, n)
-    own = reps.join(own, (reps["fp"] == own["fp"]) & (reps["rep"] == own["doc_id"])).select(reps["fp"], "bands", "set").dropDuplicates(["fp"])
+    wanted = common.maybe_broadcast(reps.select("rep").distinct())
+    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    own = full_sets(src.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "doc_id", "text", n)
+    own = reps.join(own, (reps["fp"] == own["fp"]) & reps["rep"].eqNullSafe(own["doc_id"])).select(reps["fp"], "bands", "set").dropDuplicates(["fp"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = met.select("band", "hash", "fp", "size", "block", "blocks", other.alias("other"))
     # a block meets itself only if the bucket has no other; otherwise pairs inside a block are verified in (k, k)

@@ -280,6 +280,16 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.banding() == (14, 4) and 1 - (1 - 0.8**4) ** 14 >= 0.999
 
 
+def test_near_duplicates_with_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = base[:30] + ["x"] + base[31:], [f"v{i}" for i in range(60)]
+    rows = [(None, base), (7, near), (None, far), (None, far[:-1]), (9, ["only"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((x["doc_id"] or 0, x["class_id"] or 0, x["n_links"]) for x in neardup.near_duplicates(df).collect())
+    assert got == [(0, 0, 1), (0, 0, 1), (0, 7, 1), (7, 7, 1), (9, 9, 0)]
+    assert neardup.keep_one(df).count() == 5
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)]
