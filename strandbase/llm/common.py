@@ -69,12 +69,17 @@ def per_row(df: DataFrame, make: Callable, fields: list[tuple[str, T.DataType]],
     """Columns `keep` of df plus one new column for each field, computed in Arrow batches.
 
     make() is called once in each task and returns a function from a list of texts (bytes, or None for
-    null) to one list for each field. Only `keep` and `text` are read, so other columns can't clash.
+    null) to one list for each field. Only `keep` and `text` are read, so other columns can't clash. A text
+    that is kept reaches the worker once.
     """
     ship(df.sparkSession)
     cols = [F.col(f"`{c}`") for c in keep]
-    src = df.select(*cols, F.col(f"`{text}`").cast("binary").alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields)])
+    if text in keep and isinstance(df.schema[text].dataType, T.StringType | T.BinaryType):
+        at, src = keep.index(text), df.select(*cols)
+    else:
+        at, src = len(keep), df.select(*cols, F.col(f"`{text}`").cast("binary").alias("__text"))
+    n_kept = len(keep)
+    schema = T.StructType([*src.schema.fields[:n_kept], *(T.StructField(n, t) for n, t in fields)])
     kinds = [arrow_type(t) for _, t in fields]
     names = [*keep, *(n for n, _ in fields)]
 
@@ -82,9 +87,9 @@ def per_row(df: DataFrame, make: Callable, fields: list[tuple[str, T.DataType]],
         f = make()
         for b in batches:
             for part in sliced(b):
-                out = f(part.column(part.num_columns - 1).to_pylist())
+                out = f(part.column(at).cast(pa.binary()).to_pylist())
                 made = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=names)
         pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)

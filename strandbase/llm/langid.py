@@ -170,8 +170,8 @@ def keep_known(df: DataFrame, profiles: Profiles, text: str = "text", lang: str
     """
     columns = df.columns
     inner = [f"__c{i}" for i in range(len(columns))]
-    plain = df.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner, strict=True)), F.col(f"`{text}`").alias("__text"), F.col(f"`{lang}`").alias("__lang"))
-    rows = identify(plain, profiles, [*inner, "__lang"], "__text")
+    plain = df.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner, strict=True)), F.col(f"`{lang}`").alias("__lang"))
+    rows = identify(plain, profiles, [*inner, "__lang"], inner[columns.index(text)])
     wrong = F.coalesce((F.col("__lang") != F.col("lang_pred")) & (F.col("score") - F.col("second_score") > margin), F.lit(False))
     return rows.where((F.col("lang_pred") != "und") & ~wrong).select(*(F.col(i).alias(c) for c, i in zip(columns, inner, strict=True)))
 

@@ -136,12 +136,12 @@ def keep_good(df: DataFrame, text: str = "text", host: str = "source", host_limi
     than carrying them through a shuffle.
     """
     own = rules(**(limits or LIMITS))
-    marked = df.withColumns({"__host": host_key(host), "__text": F.col(f"`{text}`")})
-    bad = rejected_hosts(measured(marked, ["__host"], "__text").select(F.col("__host").alias("host"), own.alias("failed")), host_limit)
+    marked = df.withColumn("__host", host_key(host))
+    bad = rejected_hosts(measured(marked, ["__host"], text).select(F.col("__host").alias("host"), own.alias("failed")), host_limit)
     columns = df.columns
     inner = [f"__c{i}" for i in range(len(columns))]
-    plain = marked.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner, strict=True)), F.col("__host").alias("host"), "__text")
-    rows = measured(plain, [*inner, "host"], "__text").where(~own)
+    plain = marked.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner, strict=True)), F.col("__host").alias("host"))
+    rows = measured(plain, [*inner, "host"], inner[columns.index(text)]).where(~own)
     return rows.join(bad, "host", "left").where(F.col("host_rejected").isNull()).select(*(F.col(i).alias(c) for c, i in zip(columns, inner, strict=True)))
 
 
