@@ -35,6 +35,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most sets in a block, and most n-grams in a block of several sets.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 WORDS_CACHE = 65_536
+#: Sets that are broadcast when results go back to rows: those with more than this part of all rows.
+HOT_SETS = 4096
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 2048
 _SPACED = re.compile(r"[\W_]+")
@@ -300,8 +302,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     many = named.join(roots.select("root").distinct(), "root", "left_semi")
     least = many.groupBy("root").agg(F.min("rep").alias("class_id"))
     linked = many.select("fp", "root").join(least, "root").join(degree, "fp", "left").select("fp", "class_id", "n")
-    answer = sets.select("fp", "rep", "size").join(linked, "fp", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "fp").join(answer, "fp").select("doc_id", "fp", "class_id", "n_links")
+    answer = sets.select("fp", "rep", "size").join(linked, "fp", "left").select("fp", "size", F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return to_copies(rows.select("doc_id", "fp"), common.stored(answer, "answer"))
+
+
+def to_copies(rows: DataFrame, answer: DataFrame) -> DataFrame:
+    """Each row (doc_id, fp) with its set's class_id and n_links.
+
+    Fewer than HOT_SETS sets can hold more than their share of all rows; these are broadcast, so that no
+    task gets all copies of one text. The other sets are joined by a shuffle.
+    """
+    limit = (answer.agg(F.sum("size")).first()[0] or 0) // HOT_SETS
+    own = answer.select("fp", "class_id", "n_links")
+    hot, cool = F.broadcast(own.where(answer["size"] > limit)), own.where(answer["size"] <= limit)
+    found = rows.join(hot, "fp").unionAll(rows.join(hot.select("fp"), "fp", "left_anti").join(cool, "fp"))
+    return found.select("doc_id", "fp", "class_id", "n_links")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
