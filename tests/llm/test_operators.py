@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandbase.llm import common, htmltext, langid, lexicon, licenses, media, neardup, packing, quality, sharding, tokencount
 
@@ -290,6 +291,30 @@ def test_near_duplicates_with_null_ids(spark):
     assert neardup.keep_one(df).count() == 5
 
 
+def test_results_reach_copies_of_large_and_small_sets(spark, monkeypatch):
+    rows = [(i, "hot" if i % 2 else f"s{i % 10}") for i in range(200)]
+    size = collections.Counter(fp for _, fp in rows)
+    df = spark.createDataFrame([(i, fp.encode()) for i, fp in rows], "doc_id long, fp binary")
+    sets = spark.createDataFrame([(fp.encode(), n, len(fp), n - 1) for fp, n in size.items()], "fp binary, size long, class_id long, n_links long")
+    want = sorted((i, fp.encode(), len(fp), size[fp] - 1) for i, fp in rows)
+    for parts in (1, 4, 4096):  # no set is large, one is, all are
+        monkeypatch.setattr(neardup, "HOT_SETS", parts)
+        got = neardup.to_copies(df, sets)
+        assert sorted((r[0], bytes(r[1]), r[2], r[3]) for r in got.collect()) == want
+    assert neardup.to_copies(df.limit(0), sets.limit(0)).count() == 0
+
+
+def test_kept_text_comes_back_whole(spark, docs):
+    make = lambda: lambda texts: [[len(t or b"") for t in texts]]
+    field = [("n_text", T.LongType())]
+    with_text = common.per_row(docs, make, field, ["doc_id", "text"])
+    assert with_text.columns == ["doc_id", "text", "n_text"]
+    assert all(r["n_text"] == len((r["text"] or "").encode()) for r in with_text.collect())
+    key = lambda r: (r["doc_id"], r["text"] or "")
+    assert sorted(map(key, with_text.collect())) == sorted(map(key, docs.collect()))
+    assert sorted(r["n_text"] for r in common.per_row(docs, make, field, ["doc_id"]).collect()) == sorted(r["n_text"] for r in with_text.collect())
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)]
