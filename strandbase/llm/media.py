@@ -2,11 +2,13 @@
 
 A payload is written by the wave module as 8-bit mono samples and read back by it. Short-time Fourier
 transforms of the samples give a magnitude picture; a bin is a peak if it is the greatest of its band in its
-frame and stands out from the frame's mean. Each peak is paired with the next peaks within `REACH` frames;
-a pair's code holds both bins and the time between, and its time code is its first peak's frame.
+frame and stands out from the frame's mean. Frames overlap, and the first one begins `LEAD` samples before the
+payload, so that every sample stands near the middle of some frame's window. Each peak is paired with the other
+peaks of its frame and those of the next `REACH` frames; a pair's code holds both bins and the time between, and
+its time code is its first peak's frame.
 
-Defined cases: a null text is an empty payload, padded to 64 zero bytes; silent or short payloads have no
-pairs; equal payloads have equal values; a very long payload is transformed in blocks of frames.
+Defined cases: a null text is an empty payload, padded to 64 zero bytes; silent payloads (all samples 128) have
+no pairs; equal payloads have equal values; a very long payload is transformed in blocks of frames.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from . import common
 
 UNIT = 64
 RATE = 8000
-FRAME, HOP = 512, 512
+FRAME, HOP = 512, 128
+LEAD = FRAME - HOP
 #: Edges of the bands of frequency bins that give one peak each in a frame.
 BANDS = (1, 8, 24, 64, 128, 257)
-REACH = 3
+#: Frames behind a peak with which it is paired: 1536 samples.
+REACH = 12
 #: Frames transformed at once.
 BLOCK = 2048
 
@@ -60,14 +64,16 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins of the spectral peaks, ascending by frame, then bin."""
-    n = max(1, -(-len(samples) // HOP))
+    n = max(1, -(-(len(samples) + LEAD) // HOP))
     frames_found, bins_found = [], []
     for k in range(0, n, BLOCK):
         m = min(BLOCK, n - k)
-        part = np.zeros(m * HOP, np.float32)
-        piece = samples[k * HOP : (k + m) * HOP]
-        part[: len(piece)] = piece.astype(np.float32) - 128.0
-        size = np.abs(np.fft.rfft(part.reshape(m, HOP) * _WINDOW, axis=1)).astype(np.float32)
+        part = np.zeros((m - 1) * HOP + FRAME, np.float32)
+        begin = k * HOP - LEAD  # where part stands in samples
+        piece = samples[max(0, begin) : begin + len(part)]
+        part[max(0, -begin) : max(0, -begin) + len(piece)] = piece.astype(np.float32) - 128.0
+        framed = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        size = np.abs(np.fft.rfft(framed * _WINDOW, axis=1)).astype(np.float32)
         limit = 2.0 * size.mean(axis=1)
         best = np.stack([lo + size[:, lo:hi].argmax(axis=1) for lo, hi in zip(BANDS, BANDS[1:], strict=False)], axis=1)
         tall = np.take_along_axis(size, best, axis=1) > limit[:, None]
@@ -77,11 +83,11 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(frames_found), np.concatenate(bins_found)
 
 
-def pairs(frames: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Time codes and codes of all pairs of a peak with the peaks of the REACH frames behind it."""
+def pairs(frames: np.ndarray, bins: np.ndarray, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Time codes and codes of all pairs of a peak with the peaks of the REACH frames behind it; with `inside` also within its frame."""
     if not len(frames):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.searchsorted(frames, frames, side="right")
+    begin = np.arange(1, len(frames) + 1) if inside else np.searchsorted(frames, frames, side="right")
     end = np.searchsorted(frames, frames + REACH, side="right")
     n = end - begin
     first = np.repeat(np.arange(len(frames)), n)
@@ -93,10 +99,10 @@ def _make() -> Callable:
     def one(text: bytes | None) -> tuple:
         stored = to_wav(payload_of(text))
         payload = from_wav(stored)
-        times, codes = pairs(*peaks(np.frombuffer(payload, np.uint8)))
+        times, codes = pairs(*peaks(np.frombuffer(payload, np.uint8)), inside=True)
         return len(text or b""), stored, payload, times, codes
 
-    return lambda texts: [one(t) for t in texts]
+    return lambda texts: (one(t) for t in texts)  # one text's arrays at a time
 
 
 def _columns(full: bool) -> Callable:

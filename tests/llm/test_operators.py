@@ -150,6 +150,31 @@ def test_media(docs, empty):
         media.BLOCK = old
 
 
+def test_media_fingerprints_cover_short_texts_and_frame_edges():
+    def codes(b):
+        return media.pairs(*media.peaks(np.frombuffer(media.payload_of(b), np.uint8)), inside=True)
+
+    r = random.Random(6)
+    prose = lambda n: bytes(r.choice(b"etaoin shrdlu, cmfwyp. ETA") for _ in range(n))
+    short = [prose(n) for n in (1, 5, 30, 64, 100, 300, 511)]
+    found = [codes(b) for b in short]
+    assert all(len(c) for _, c in found) and len({(t.tobytes(), c.tobytes()) for t, c in found}) == len(short)
+    # every sample counts: an edit anywhere, so also on a multiple of 512, changes the peaks as often
+    text, same = prose(40 * 512), collections.Counter()
+    for at in range(512, 39 * 512, 256):
+        edited = text[: at - 4] + prose(8) + text[at + 4 :]
+        same[at % 512] += all(np.array_equal(a, b) for a, b in zip(codes(text), codes(edited), strict=True))
+    assert same[0] <= 25 and same[256] <= 25  # of 77 and 76
+    # a copy that stands later keeps most of its pairs
+    late = collections.Counter(codes(prose(200) + text)[1].tolist())
+    own = collections.Counter(codes(text)[1].tolist())
+    assert (own & late).total() >= 0.4 * own.total()
+    assert not len(codes(bytes([128]) * 640)[1])
+    frames, bins = np.array([0, 0, 1, 4, 20]), np.array([3, 9, 4, 7, 8])
+    want = [(frames[i], bins[i] << 20 | bins[j] << 8 | frames[j] - frames[i]) for i in range(5) for j in range(i + 1, 5) if frames[j] - frames[i] <= media.REACH]
+    assert list(zip(*media.pairs(frames, bins, inside=True), strict=True)) == want
+
+
 def test_token_counts(docs, empty):
     path = P.path("piece_bpe_32k.model")
     m = tokencount.model(path)
