@@ -185,10 +185,23 @@ def records_without_read(spark, d):
     return report.records_without_read(reads, _results(spark, d)).select("qid", "name")
 
 
+def _n_sources(spark: SparkSession, d: str) -> int:
+    """One more than the greatest source number."""
+    top = _once(spark, ("top", d), lambda: documents(spark, d).agg(F.max("color")).first()[0])
+    return 0 if top is None else top + 1
+
+
+def _shift(spark: SparkSession, d: str) -> int:
+    """What the second part's colors are shifted by: 20, or more where there are more sources."""
+    return max(20, _n_sources(spark, d))
+
+
 def merge_indexes(spark, d):
+    """The index of the English documents merged with that of all others, those without a language included."""
+
     def make():
-        docs = documents(spark, d)
-        parts = [ix.build(docs.where(c), K, ix.default_names(spark, 20), spread=_spread(spark)) for c in ("lang = 'en'", "lang != 'en'")]
+        docs, n = documents(spark, d), _shift(spark, d)
+        parts = [ix.build(docs.where(c), K, ix.default_names(spark, n), spread=_spread(spark)) for c in ("lang = 'en'", "coalesce(lang != 'en', true)")]
         return ix.merge(parts)
 
     x = _once(spark, ("merged", d), make)
@@ -228,10 +241,11 @@ def index_checksum(spark, d):
 
 def index_diff(spark, d):
     """k-mers whose colors differ between the merged index and a joint build with the same colors."""
-    docs = documents(spark, d).withColumn("color", F.when(F.col("lang") == "en", F.col("color")).otherwise(F.col("color") + 20))
+    n = _shift(spark, d)
+    docs = documents(spark, d).withColumn("color", F.when(F.col("lang") == "en", F.col("color")).otherwise(F.col("color") + n))
     merge_indexes(spark, d)
     merged = _once(spark, ("merged", d), lambda: None)
-    joint = ix.build(docs, K, ix.default_names(spark, 40), exact=True, spread=_spread(spark))
+    joint = ix.build(docs, K, ix.default_names(spark, 2 * n), exact=True, spread=_spread(spark))
     return merged.difference(joint).select("side", _texts().alias("colors")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 

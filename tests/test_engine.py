@@ -1,3 +1,4 @@
+import collections
 import gzip
 import random
 
@@ -5,6 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from strandbase import queries
 from strandbase.functions import dna
 from strandbase.functions.windows import windows
 from strandbase.operators import align, minimizers, mixture, report, unitigs
@@ -229,3 +231,29 @@ def test_window_positions_over_long_sequences(spark, monkeypatch):
     df = spark.createDataFrame([(0, "ACGTACGGTNACGTAC")], "qid long, seq string")
     got = [(r["pos"], r["w"]) for r in windows(df, 4, ["qid"], canonical=False).select("pos", dna.Kmer(4).decode(F.col("km")).alias("w")).orderBy("pos").collect()]
     assert got == list(enumerate(brute.windows("ACGTACGGTNACGTAC", 4)))
+
+
+def prose(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def write_tables(spark, path, docs, passages):
+    """docs: (source number, lang, text); passages: text."""
+    rows = [(i, t, lang, f"src{c}") for i, (c, lang, t) in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+def test_merged_index_keeps_documents_without_language(spark, tmp_path):
+    r = random.Random(7)
+    shared = prose(r, 60)
+    docs = [(0, "en", shared), (1, "fr", shared), (2, None, shared), (3, None, prose(r, 70)), (24, "en", prose(r, 50)), (24, None, prose(r, 50)), (4, "de", prose(r, 50))]
+    for name, own, n in (("few", docs[:4] + docs[6:], 20), ("many", docs, 25)):
+        (tmp_path / name).mkdir()
+        d = write_tables(spark, tmp_path / name, own, [])
+        seqs = {x["doc_id"]: x["seq"] for x in queries.documents(spark, d).collect()}
+        index = brute.build([(c if lang == "en" else c + n, seqs[i]) for i, (c, lang, _) in enumerate(own)], queries.K)
+        want = collections.Counter(",".join(map(str, sorted(c))) for c in index.values())
+        assert {x["colors"]: x["n_kmers"] for x in queries.merge_indexes(spark, d).collect()} == want
+        assert queries.index_diff(spark, d).count() == 0
