@@ -15,19 +15,21 @@ at least the threshold, copies included).
 Defined cases: null and empty texts, and texts without a word, have the empty set; empty sets are alike;
 repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored. Rows
 with a null id are linked like others and take their class's least id, which is null if no member has one;
-keep_one() can't tell such rows apart, so it keeps them all.
+keep_one() can't tell such rows apart, so it keeps them all. An id may stand for several texts: keep_one() decides
+on the id and the fingerprint of its set, so that each class keeps one row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -272,7 +274,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, fp, class_id and n_links for every row."""
+    """doc_id, fp, class_id, n_links and leads for every row; leads: its set is the one that stands for its class."""
     spark = df.sparkSession
     bands, per_band = banding(threshold, recall)
     rows = common.stored(sketches(df, doc_id, text, n, bands, per_band), "sketches")
@@ -298,38 +300,52 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "fp")
     roots = components(found.where("b is not null").select("a", "b"))
     named = sets.select("fp", "rep", "size").join(roots, sets["fp"] == roots["node"], "left").select("fp", "rep", "size", F.coalesce("root", "fp").alias("root"))
-    # classes of more than one set are few; only they need the least doc_id of the class
+    # classes of more than one set are few; only they need the least doc_id of the class, and the least set that has it
     many = named.join(roots.select("root").distinct(), "root", "left_semi")
-    least = many.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = many.select("fp", "root").join(least, "root").join(degree, "fp", "left").select("fp", "class_id", "n")
-    answer = sets.select("fp", "rep", "size").join(linked, "fp", "left").select("fp", "size", F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    least = many.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("first"))
+    least = least.select("root", F.col("first.rep").alias("class_id"), F.col("first.fp").alias("first"))
+    linked = many.select("fp", "root").join(least, "root").join(degree, "fp", "left").select("fp", "class_id", (F.col("fp") == F.col("first")).alias("leads"), "n")
+    n_links = (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    answer = sets.select("fp", "rep", "size").join(linked, "fp", "left").select("fp", "size", F.coalesce("class_id", "rep").alias("class_id"), n_links, F.coalesce("leads", F.lit(True)).alias("leads"))
     return to_copies(rows.select("doc_id", "fp"), common.stored(answer, "answer"))
 
 
 def to_copies(rows: DataFrame, answer: DataFrame) -> DataFrame:
-    """Each row (doc_id, fp) with its set's class_id and n_links.
+    """Each row (doc_id, fp) with its set's other columns, class_id and n_links first.
 
     Fewer than HOT_SETS sets can hold more than their share of all rows; these are broadcast, so that no
     task gets all copies of one text. The other sets are joined by a shuffle.
     """
     limit = (answer.agg(F.sum("size")).first()[0] or 0) // HOT_SETS
-    own = answer.select("fp", "class_id", "n_links")
+    own = answer.drop("size")
     hot, cool = F.broadcast(own.where(answer["size"] > limit)), own.where(answer["size"] <= limit)
     found = rows.join(hot, "fp").unionAll(rows.join(hot.select("fp"), "fp", "left_anti").join(cool, "fp"))
-    return found.select("doc_id", "fp", "class_id", "n_links")
+    return found.select("doc_id", *own.columns)
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of df that hold the least doc_id of their class; of repeated rows with that id, one stays."""
+    """The rows of df that hold the least doc_id of their class, in the set that stands for it; of repeated rows, one stays."""
     classes = common.stored(near_duplicates(df, doc_id, text, n, threshold, recall), "classes")
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias(doc_id))
-    kept = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id))
-    gone = gone.unionAll(kept).distinct()
-    rows = df.join(common.maybe_broadcast(gone), doc_id, "left_anti").select(*df.columns)
-    if not kept.take(1):
+    first = F.col("leads") & (F.col("doc_id") == F.col("class_id"))
+    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("n_first"))
+    gone = common.stored(ids.where("n_first = 0 or n > 1").select(F.col("doc_id").alias(doc_id), "n_first"), "gone")
+    # an id of several rows, not all to be dropped, is decided by the fingerprint
+    mixed = gone.where("n_first > 0").select(doc_id)
+    rows = df.join(common.maybe_broadcast(gone.select(doc_id)), doc_id, "left_anti").select(*df.columns)
+    if not mixed.take(1):
         return rows
-    again = df.join(common.maybe_broadcast(kept), doc_id, "left_semi").select(*df.columns)
-    return rows.unionAll(again.dropDuplicates([doc_id]))
+    again = common.per_row(df.join(common.maybe_broadcast(mixed), doc_id, "left_semi").select(*df.columns), _prints(n), [("__fp", T.BinaryType())], df.columns, text)
+    kept = classes.where(first).select(F.col("doc_id").alias(doc_id), F.col("fp").alias("__fp")).distinct()
+    again = again.join(kept, [doc_id, "__fp"], "left_semi").dropDuplicates([doc_id, "__fp"])
+    return rows.unionAll(again.select(*df.columns))
+
+
+def _prints(n: int) -> Callable:
+    def make() -> Callable:
+        g = Grams(n, 1, 1)
+        return lambda texts: [[fingerprint(g.grams(t)) for t in texts]]
+
+    return make
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -316,6 +316,18 @@ def test_near_duplicates_with_null_ids(spark):
     assert neardup.keep_one(df).count() == 5
 
 
+def test_each_class_keeps_one_row_where_ids_repeat(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    near = one.replace("a30", "x")
+    # 5 is a near copy of 3 and alone in two other classes; 2 leads one class by two sets; 8 is an exact repeat
+    rows = [(3, one), (5, near), (5, two), (5, three), (5, three), (2, four), (2, four.replace("d30", "x")), (9, four), (8, "only here"), (8, "only here"), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"][0]) for r in kept.collect())
+    assert got == collections.Counter([(3, "a"), (5, "b"), (5, "c"), (2, "d"), (8, "o"), (None, "a")])
+
+
 def test_results_reach_copies_of_large_and_small_sets(spark, monkeypatch):
     rows = [(i, "hot" if i % 2 else f"s{i % 10}") for i in range(200)]
     size = collections.Counter(fp for _, fp in rows)
