@@ -2,8 +2,9 @@
 
 Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased. All phrases and the
 identifier tag are found in one pass of one automaton over the words of the whole text. The text behind an
-identifier tag, up to its line's end, is parsed as an expression of identifiers, `and`, `or`, `with` and
-parentheses; `with` binds closest, `or` loosest. An expression is permissive if the identifiers that must be
+identifier tag, up to the next tag or its line's end, is parsed as an expression of identifiers, `and`, `or`,
+`with` and parentheses; `with` binds closest, `or` loosest. Prose ends an expression: a word behind an operator
+belongs to it only if it looks like an identifier. An expression is permissive if the identifiers that must be
 obeyed together are, for at least one choice.
 
 Defined cases: a null or empty text has no words and no labels; a malformed expression gives no label of its
@@ -38,7 +39,22 @@ PERMISSIVE = ("mit", "apache", "bsd", "isc", "zlib", "cc0", "cc-by-4", "cc-by-3"
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
-_TAG_LINE = re.compile(rb"spdx-license-identifier[ \t]*:([^\n]*)", re.IGNORECASE)
+_TAG = re.compile(rb"spdx-license-identifier[ \t]*:", re.IGNORECASE)
+#: SPDX identifiers without a digit, or what stands before their first hyphen.
+_PLAIN = frozenset("""
+aal abstyles adacore adobe adsl afmparse agpl aladdin amd amdplpa aml ampas antlr apache apafml artistic aspell baekmuk bahyph barr bcrypt
+beerware bitstream blessing boehm borceux bsd caldera catharon cc cecill cfitsio checkmk clartistic clips cmu cnri cornell cronyx crossword
+cryptoswift crystalstacker cube curl cve diffmark docbook documentref dotseqn dsdp dtoa dvipdfm egenix entessa epics eudatagrid eurosym
+fbm fdk ferguson freebsd freeimage fsfap fsful fsfullr fsfullrsd fsfullrwd ftl furuseth fwlw gcr gd generic giftware glide glulxe glwtpl
+gnuplot gpl gtkbook gutmann haskellreport hdparm hidapi hpnd htmltidy ibm icu iec ijg imagemagick imatix innosetup intel ipa isc jove jpl
+jpnic json kastrup kazlib knuth leptonica lgpl lgpllr libpng libtiff libutil licenseref linux llgpl lpd lsof lucida magaz mailprio makeindex
+mcphee metamail minpack mips miros mit mitnfa mmixware motosoto mpeg mpi mpl mplus ms mtll multics mup naumen ncbi ncl ncsa netcdf newsletr
+ngpl ngrep nist nlpl nokia nosl noweb nrl ntia ntp nunit occt offis ogtsl oml openssl openvision padl pixar pkgconf plexus pnmstitch
+postgresql ppl proprietary psfrag psutils qhull radvd rdisc rsa rscpl ruby saxpath scea schemereport sendmail sgi sissl sl sleepycat smlnj
+smppl snia snprintf sofa softsurfer soundex ssleay standardml sunpro swl swrule symlinks tcl termreadkey thirdeye threeparttable tmate tosl
+tpdl trustedqsl ttwl ucar ulem umich unicode unixcrypt unlicense vim vostrom wsuipa wtfpl wwl wxwindows xerox xfig xinetd xlock xnet xpp
+xskat xzoom zed zeeff zlib
+""".split())
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -78,6 +94,34 @@ def to_postfix(text: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def is_identifier(word: str) -> bool:
+    """Whether a word looks like a licence's or an exception's identifier rather than prose."""
+    low = word.lower().rstrip(".:_-")
+    return bool(re.search("[a-z]", low) and re.search("[0-9]", low)) or "-exception" in low or low.endswith("-note") or low.rstrip("+").split("-")[0] in _PLAIN
+
+
+def without_prose(text: str) -> str:
+    """The text up to the first operator whose operand isn't an identifier; dots and the like at a word's end go."""
+    kept: list[str] = []
+    whole = depth = 0
+    operand_next, joined = True, False
+    for token in _TOKEN.findall(text):
+        if token in "()":
+            depth += 1 if token == "(" else -1
+        elif token.lower() in _RANK:
+            operand_next = joined = True
+        elif not operand_next:
+            break  # prose after the expression
+        else:
+            if joined and not is_identifier(token):
+                return " ".join(kept[:whole])
+            token, operand_next = token.rstrip(".:_-"), False
+        kept.append(token)
+        if not operand_next and not depth:
+            whole = len(kept)
+    return " ".join(kept)
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     """All licence identifiers of an expression, and whether it can be met by permissive ones alone.
 
@@ -130,8 +174,11 @@ def _make(notices: dict[str, str]) -> Callable:
                     labels.add(labels_of[phrase])
             permissive = None
             if tagged:
-                for m in _TAG_LINE.finditer(text):
-                    postfix = to_postfix(m[1].decode("utf-8", "replace"))
+                tags = list(_TAG.finditer(text))
+                ends = [*(m.start() for m in tags[1:]), len(text)]
+                for m, end in zip(tags, ends, strict=False):
+                    own = text[m.end() : end].split(b"\n", 1)[0]
+                    postfix = to_postfix(without_prose(own.decode("utf-8", "replace")))
                     if postfix:
                         names, ok = evaluate(postfix)
                         labels |= {n.replace(",", "") for n in names}

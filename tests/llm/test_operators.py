@@ -124,6 +124,18 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty, ["doc_id"]).count() == 0
 
 
+def test_licence_expressions_end_at_tags_and_prose():
+    scan = licenses._make(licenses.NOTICES)()
+    tag = "SPDX-License-Identifier: "
+    cases = {
+        f"/* {tag}MIT */ a(); /* {tag}GPL-3.0-only */": ("gpl-3.0-only,mit", False), f"{tag}MIT. {tag}Apache-2.0": ("apache-2.0,mit", True),
+        f"{tag}MIT and the rest of it": ("mit", True), f"{tag}(MIT or ISC) and all others": ("isc,mit", True), f"{tag}MIT.\nx": ("mit", True),
+        f"{tag}GPL-2.0-only WITH Classpath-exception-2.0 or curl": ("curl,gpl-2.0-only", False), f"{tag}(MIT or the": ("", None), f"{tag}MIT OR LicenseRef-x": ("licenseref-x,mit", True),
+    }
+    out = scan([t.encode() for t in cases])
+    assert list(zip(out[5], out[7], strict=True)) == list(cases.values())
+
+
 def test_media(docs, empty):
     t = texts(docs)
     got = media.media_columns(docs, ["doc_id"]).collect()
