@@ -1,6 +1,7 @@
 """Command line: one subcommand for each operation on indexes, reads and results.
 
-Results are folders of part files, as Spark writes them; an existing output is an error.
+Results are folders of part files, as Spark writes them; an existing output is an error. Without a query file
+reads come from standard input, without an output lines go to standard output.
 """
 
 from __future__ import annotations
@@ -14,22 +15,35 @@ from pyspark.sql import functions as F
 from .functions import dna
 from .operators import align, minimizers, report, unitigs
 from .plans import index as ix
+from .plans.store import stored
 from .sources import sequences, sinks
 
 
-def _reads(spark: SparkSession, path: str) -> DataFrame:
-    return sequences.read_sequences(spark, path).withColumn("qid", F.col("ordinal"))
+def _reads(spark: SparkSession, path: str | None) -> DataFrame:
+    """The records of a file, or of standard input without one (or with -)."""
+    rows = sequences.read_sequences(spark, sequences.from_stdin(spark) if path in (None, "-") else path)
+    return rows.withColumn("qid", F.col("ordinal"))
 
 
-def _pairs_of_files(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, str]]:
-    if a.query:
-        return [(a.query, a.output)]
-    if not a.query_list or not a.query_output_list:
-        raise ValueError("give a query and an output, or a list of each")
-    queries, outputs = sequences.read_list(spark, a.query_list), sequences.read_list(spark, a.query_output_list)
-    if not queries or len(queries) != len(outputs):
-        raise ValueError("the query list is empty, or the lists differ in length")
-    return list(zip(queries, outputs, strict=True))
+def _pairs_of_files(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str | None, str | None]]:
+    """Inputs and outputs; None is standard input or output."""
+    pairs: list[tuple[str | None, str | None]] = [(a.query, a.output)] if a.query else []
+    if a.query_list:
+        queries = sequences.read_list(spark, a.query_list)
+        outputs: list[str | None] = [*sequences.read_list(spark, a.query_output_list)] if a.query_output_list else [None] * len(queries)
+        if not queries or len(queries) != len(outputs):
+            raise ValueError("the query list is empty, or the lists differ in length")
+        pairs += zip(queries, outputs, strict=True)
+    return pairs or [(None, a.output)]
+
+
+def _write(rows: DataFrame, line, output: str | None, order: list[str] | None) -> None:
+    """A folder of part files, or lines to standard output, fetched partition by partition."""
+    if output:
+        sinks.write_lines(rows, line, output, order)
+        return
+    for r in (rows.orderBy(*order) if order else rows).select(line.alias("line")).toLocalIterator():
+        print(r["line"])
 
 
 def _align(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -44,14 +58,14 @@ def _align(spark: SparkSession, a: argparse.Namespace) -> None:
         else:
             rows = align.intersection_align(index, reads, a.min_hits, metrics)
         line = sinks.legacy(rows) if a.legacy_output_format else sinks.jsonl(rows, metrics)
-        sinks.write_lines(rows, line, output, ["qid"] if a.sort_output else None)
+        _write(rows, line, output, ["qid"] if a.sort_output else None)
 
 
 def _build(spark: SparkSession, a: argparse.Namespace) -> None:
     if bool(a.file_colors) == bool(a.seq_colors):
         raise ValueError("give either --file-colors or --seq-colors")
     if a.from_unitigs and a.k % 2 == 0:
-        raise ValueError("unitigs need an odd k")
+        raise ValueError("unitigs need an odd k")  # an even k has k-mers that are their own reverse complement
     seqs, names = sequences.file_colors(spark, sequences.read_list(spark, a.file_colors)) if a.file_colors else sequences.sequence_colors(spark, a.seq_colors)
     dictionary = _dictionary(spark, a.dictionary, a.k) if a.dictionary else None
     ix.build(seqs, a.k, names, dictionary=dictionary).save(a.output)
@@ -72,7 +86,7 @@ def _export(spark: SparkSession, a: argparse.Namespace) -> None:
         else:
             sinks.write_lines(index.color_sets, sinks.color_set_lines(), f"{a.output}.color_sets.txt", ["set_id"])
     if not a.no_unitigs:
-        pieces = unitigs.colored_unitigs(index).cache()
+        pieces = stored(unitigs.colored_unitigs(index), "unitigs")
         n = pieces.count()
         if a.gfa:
             lines = sinks.gfa_lines(pieces, unitigs.gfa_links(pieces, index.k), index.k)
@@ -118,9 +132,9 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif c.endswith("pseudoalign"):
         _align(spark, a)
     elif c == "print-color-sets":
-        sinks.write_lines(align.kmer_lines(ix.load(spark, a.index), _reads(spark, a.query), a.print_kmers), F.col("line"), a.output, ["qid", "pos"])
+        _write(align.kmer_lines(ix.load(spark, a.index), _reads(spark, a.query), a.print_kmers), F.col("line"), a.output, ["qid", "pos"])
     elif c == "dump-color-names":
-        sinks.write_lines(ix.load_color_names(spark, a.index), sinks.names_line(), a.output, ["color_id"])
+        _write(ix.load_color_names(spark, a.index), sinks.names_line(), a.output, ["color_id"])
     elif c == "merge":
         ix.merge([ix.load(spark, p) for p in sequences.read_list(spark, a.index_file_list)]).save(a.output)
     elif c == "import":
@@ -162,8 +176,8 @@ def parser() -> argparse.ArgumentParser:
     command("build", (("--file-colors",), {}), (("--seq-colors",), {}), (("-k",), {"type": int, **need}), (("--dictionary",), {}), flag("--from-unitigs"), output)
     command("intersection-pseudoalign", *reading)
     command("threshold-pseudoalign", *reading, (("-d", "--threshold"), {"type": float, **need}), (("-n", "--denominator"), {"choices": align.DENOMINATORS, "default": "all"}))
-    command("print-color-sets", index, (("-q", "--query"), need), flag("--print-kmers"), output)
-    command("dump-color-names", index, output)
+    command("print-color-sets", index, (("-q", "--query"), {}), flag("--print-kmers"), (("-o", "--output"), {}))
+    command("dump-color-names", index, (("-o", "--output"), {}))
     command("merge", (("--index-file-list",), need), output)
     command("import", (("-c", "--color-dump-prefix"), need), output)
     command("import-kmers", (("--dictionary",), need), (("-k",), {"type": int, **need}), (("--color-name",), {"default": "0"}), output)

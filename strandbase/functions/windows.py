@@ -67,16 +67,63 @@ def _texts(seq: bytes, k: int, canonical: bool) -> list[str | None]:
     return out
 
 
+def _source(df: DataFrame, keep: list[str], seq: str, spread: int | None) -> DataFrame:
+    ship(df.sparkSession)
+    src = df.select(*keep, F.col(seq).cast("binary").alias("__seq"))
+    return src.repartition(spread) if spread else src
+
+
+def distinct_kmers(df: DataFrame, k: int, color: str, seq: str = "seq", canonical: bool = True, spread: int | None = None) -> DataFrame:
+    """(color, km) of all valid windows, each pair once for each stretch of windows that a batch holds."""
+    packed = k <= MAX_PACKED
+    src = _source(df.select(F.col(color).cast("long").alias("color"), F.col(seq).alias("seq")), ["color"], "seq", spread)
+
+    def run(batches):
+        colors, codes, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            c = np.concatenate(colors)
+            if packed:
+                x = np.concatenate(codes)
+                order = np.lexsort((x, c))
+                c, x = c[order], x[order]
+                new = np.ones(len(c), bool)
+                new[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1])
+                return pa.RecordBatch.from_arrays([pa.array(c[new]), pa.array(x[new])], names=["color", "km"])
+            pairs = list({*zip(c.tolist(), (x for part in codes for x in part), strict=True)})
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string())], names=["color", "km"])
+
+        for b in batches:
+            for own, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = s.as_py()
+                if s is None or own is None or len(s) < k:
+                    continue
+                for a in range(0, len(s) - k + 1, STRETCH):
+                    piece = s[a : a + STRETCH + k - 1]
+                    if packed:
+                        code, valid = encode(_CODE[np.frombuffer(piece, np.uint8)], k, canonical)
+                        found = code[valid]
+                    else:
+                        found = [x for x in _texts(piece, k, canonical) if x is not None]
+                    codes.append(found)
+                    colors.append(np.full(len(found), own, np.int64))
+                    held += len(found)
+                    if held >= STRETCH:
+                        yield flush()
+                        colors, codes, held = [], [], 0
+        if held:
+            yield flush()
+
+    return src.mapInArrow(run, f"color long, km {'long' if packed else 'string'}")
+
+
 def windows(df: DataFrame, k: int, keep: list[str], seq: str = "seq", canonical: bool = True, spread: int | None = None) -> DataFrame:
     """Columns `keep`, pos and km for every window of every sequence; km is null if the window has a non-ACGT byte.
 
     `spread` deals the sequences over so many partitions first, for small inputs in one file.
     """
-    ship(df.sparkSession)
     packed = k <= MAX_PACKED
-    src = df.select(*keep, F.col(seq).cast("binary").alias("__seq"))
-    if spread:
-        src = src.repartition(spread)
+    src = _source(df, keep, seq, spread)
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("pos", T.LongType()), T.StructField("km", T.LongType() if packed else T.StringType())])
     names = [*keep, "pos", "km"]
 

@@ -5,14 +5,17 @@ Reads are rows (qid, ..., seq). Every read yields a row, with an empty list if n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import Index
-from ..plans.store import stored
+from ..plans.store import maybe_broadcast, stored
 
 DENOMINATORS = ("all", "relevant", "max-hits")
-METRICS = ("kmer_hits", "bases_covered")
+#: Windows of a read that one task orders; longer reads are cut into such blocks.
+BLOCK = 1 << 20
 
 
 def looked_up(index: Index, reads: DataFrame, spread: int | None = None) -> DataFrame:
@@ -27,15 +30,24 @@ def color_counts(index: Index, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     per_set = stored(found.groupBy("qid", "set_id").agg(F.count(F.lit(1)).alias("n")), "per_set")
     totals = per_set.groupBy("qid").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("set_id").isNotNull(), F.col("n")).otherwise(0)).alias("n_relevant"))
-    counts = per_set.join(index.color_sets, "set_id").select("qid", "n", F.explode("colors").alias("color")).groupBy("qid", "color").agg(F.sum("n").alias("cnt"))
+    counts = per_set.join(maybe_broadcast(index.color_sets), "set_id").select("qid", "n", F.explode("colors").alias("color")).groupBy("qid", "color").agg(F.sum("n").alias("cnt"))
     return counts, totals
 
 
 def run_counts(found: DataFrame) -> DataFrame:
-    """(qid, n_runs): maximal stretches of equal set ids, those of absent k-mers left out."""
-    w = Window.partitionBy("qid").orderBy("pos")
+    """(qid, n_runs): maximal stretches of equal set ids, those of absent k-mers left out.
+
+    Runs are counted in blocks of windows; one that goes on from block to block is counted once.
+    """
+    block = F.floor(F.col("pos") / BLOCK)
+    w = Window.partitionBy("qid", "block").orderBy("pos")
     starts = F.col("set_id").isNotNull() & (F.row_number().over(w).eqNullSafe(1) | ~F.col("set_id").eqNullSafe(F.lag("set_id").over(w)))
-    return found.select("qid", starts.cast("long").alias("starts")).groupBy("qid").agg(F.sum("starts").alias("n_runs"))
+    marked = found.withColumn("block", block).select("qid", "block", "pos", "set_id", starts.cast("long").alias("starts"))
+    ends = [F.min_by("set_id", "pos").alias("first"), F.max_by("set_id", "pos").alias("last")]
+    blocks = marked.groupBy("qid", "block").agg(F.sum("starts").alias("n"), *ends)
+    before = F.lag("last").over(Window.partitionBy("qid").orderBy("block"))  # one row for each block
+    joined = blocks.select("qid", "n", F.coalesce(F.col("first") == before, F.lit(False)).cast("long").alias("same"))
+    return joined.groupBy("qid").agg((F.sum("n") - F.sum("same")).alias("n_runs"))
 
 
 def threshold_pairs(index: Index, found: DataFrame, threshold: float, denominator: str = "all", min_hits: int = 1) -> DataFrame:
@@ -61,11 +73,36 @@ def intersection_pairs(index: Index, found: DataFrame, min_hits: int = 1) -> Dat
 
 
 def bases_covered(index: Index, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(qid, color, bases_covered) for the given pairs: the union of the windows whose set has the color."""
-    hits = found.where("set_id is not null").join(index.color_sets, "set_id").select("qid", "pos", F.explode("colors").alias("color")).join(pairs.select("qid", "color"), ["qid", "color"], "left_semi")
-    w = Window.partitionBy("qid", "color").orderBy("pos")
-    step = F.least(F.lit(index.k), F.coalesce(F.col("pos") - F.lag("pos").over(w), F.lit(index.k)))
-    return hits.select("qid", "color", step.alias("s")).groupBy("qid", "color").agg(F.sum("s").alias("bases_covered"))
+    """(qid, color, bases_covered) for the given pairs: the union of the windows whose set has the color.
+
+    Stretches of windows with one set become intervals before sets are opened; of these only the wanted
+    colors' are laid over each other.
+    """
+    near = found.where("set_id is not null").withColumn("block", F.floor(F.col("pos") / BLOCK))
+    nth = F.row_number().over(Window.partitionBy("qid", "set_id", "block").orderBy("pos"))
+    runs = near.select("qid", "set_id", "block", "pos", (F.col("pos") - nth).alias("run")).groupBy("qid", "set_id", "block", "run")
+    spans = runs.agg(F.min("pos").alias("lo"), (F.max("pos") + index.k).alias("hi"))
+    opened = spans.join(maybe_broadcast(index.color_sets.select("set_id", "colors")), "set_id").select("qid", "lo", "hi", F.explode("colors").alias("color"))
+    own = opened.join(pairs.select("qid", "color"), ["qid", "color"], "left_semi")
+    w = Window.partitionBy("qid", "color").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(w), F.col("lo"))))
+    return own.select("qid", "color", fresh.alias("s")).groupBy("qid", "color").agg(F.sum("s").alias("bases_covered"))
+
+
+def _kmer_hits(index: Index, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    return pairs.select("qid", "color", F.col("cnt").alias("kmer_hits"))
+
+
+#: A metric's name and how it is found: from (index, found, pairs) to (qid, color, <name>) for every pair.
+Metric = Callable[[Index, DataFrame, DataFrame], DataFrame]
+METRICS: dict[str, Metric] = {"kmer_hits": _kmer_hits, "bases_covered": bases_covered}
+
+
+def register_metric(name: str, metric: Metric) -> None:
+    """Make a metric of one's own known to the aligners and the result lines; its values are longs."""
+    if name in METRICS:
+        raise ValueError(f"there is a metric {name!r} already")
+    METRICS[name] = metric
 
 
 def collected(reads: DataFrame, pairs: DataFrame, metrics: tuple[str, ...] = ()) -> DataFrame:
@@ -78,19 +115,29 @@ def collected(reads: DataFrame, pairs: DataFrame, metrics: tuple[str, ...] = ())
 
 
 def _with_metrics(index: Index, found: DataFrame, pairs: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    if any(m not in METRICS for m in metrics):
-        raise ValueError(f"metrics are {METRICS}")
-    pairs = pairs.withColumnRenamed("cnt", "kmer_hits")
-    if "bases_covered" in metrics:
+    if unknown := [m for m in metrics if m not in METRICS]:
+        raise ValueError(f"no metric {unknown}; there are {sorted(METRICS)}")
+    if any(m != "kmer_hits" for m in metrics):
         pairs = stored(pairs, "pairs")
-        pairs = pairs.join(bases_covered(index, found, pairs), ["qid", "color"])
-    return pairs
+    out = pairs
+    for m in metrics:
+        out = out.withColumn(m, F.col("cnt")) if m == "kmer_hits" else out.join(METRICS[m](index, found, pairs).select("qid", "color", m), ["qid", "color"])
+    return out
+
+
+#: A rule of one's own: from (index, found) to (qid, color, cnt) of the compatible colors; found holds (qid, pos, set_id).
+Rule = Callable[[Index, DataFrame], DataFrame]
+
+
+def align(index: Index, reads: DataFrame, rule: Rule, metrics: tuple[str, ...] = (), spread: int | None = None) -> DataFrame:
+    """Reads with the colors that the rule finds compatible, and the metrics' lists beside them."""
+    found = looked_up(index, reads, spread)
+    return collected(reads, _with_metrics(index, found, rule(index, found), metrics), metrics)
 
 
 def threshold_align(index: Index, reads: DataFrame, threshold: float, denominator: str = "all", min_hits: int = 1, metrics: tuple[str, ...] = (), spread: int | None = None) -> DataFrame:
     """Reads with the colors whose share of the k-mers reaches the threshold; min_hits counts k-mers."""
-    found = looked_up(index, reads, spread)
-    return collected(reads, _with_metrics(index, found, threshold_pairs(index, found, threshold, denominator, min_hits), metrics), metrics)
+    return align(index, reads, lambda x, found: threshold_pairs(x, found, threshold, denominator, min_hits), metrics, spread)
 
 
 def intersection_align(index: Index, reads: DataFrame, min_hits: int = 1, metrics: tuple[str, ...] = (), spread: int | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.index import Index
+from ..plans.store import stored
 from .unitigs import oriented
 
 
@@ -17,25 +20,44 @@ def _parts(m: int, k: int):
     return F.transform(F.sequence(F.lit(1), F.lit(k - m + 1)), lambda i: F.substring(F.col("s"), i, F.lit(m)))
 
 
+def with_key(index: Index, key: Callable[[Column], Column]) -> DataFrame:
+    """(s, set_id, key): each k-mer of both strands and what a rule of one's own picks from its text."""
+    return _texts(index).withColumn("key", key(F.col("s")))
+
+
 def with_minimizer(index: Index, m: int) -> DataFrame:
     """(s, set_id, key): each k-mer of both strands and its least m-mer, leftmost among equals."""
     if not 1 <= m <= index.k:
         raise ValueError("m must lie between 1 and k")
-    return _texts(index).withColumn("key", F.array_min(_parts(m, index.k)))
+    return with_key(index, lambda s: F.array_min(_parts(m, index.k)))
+
+
+def graph_nodes(rows: DataFrame, k: int) -> DataFrame:
+    """(s) of the k-mers' texts and, for k-mers that nothing precedes, of all their shorter prefixes, once each."""
+    begins = rows.select(F.substring("s", 2, k - 1).alias("w")).distinct()
+    firsts = rows.withColumn("w", F.substring("s", 1, k - 1)).join(begins, "w", "left_anti")
+    pads = firsts.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.substring(F.col("s"), F.lit(1), i))).alias("s")) if k > 1 else firsts.select("s").limit(0)
+    return rows.select("s").unionAll(pads.distinct())
 
 
 def with_finimizer(index: Index) -> DataFrame:
-    """(s, set_id, key): each k-mer and its shortest substring that ends only one k-mer of the index, ties by text.
+    """(s, set_id, key): each k-mer and its shortest substring that ends only one node of the graph.
 
-    Substring frequencies are counted over k-mer suffixes of every length; the k-mer itself always qualifies.
+    Nodes are the k-mers of both strands and the padded prefixes of those that nothing precedes. Ties go to
+    the least in colexicographic order, that is by the reversed text. For each place in a k-mer at most one
+    candidate is looked up: the k-mer's prefix that ends there leads to the one node that it can end, and that
+    node knows its shortest suffix that no other node has.
     """
-    rows = _texts(index)
-    k = index.k
-    ends = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("s"), -i, i))).alias("part"))
-    single = ends.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("part")
-    inside = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda n: F.transform(F.sequence(F.lit(1), k - n + 1), lambda i: F.substring(F.col("s"), i, n))))
-    cand = rows.select("s", "set_id", F.explode(F.array_distinct(inside)).alias("part")).join(single, "part")
-    return cand.groupBy("s", "set_id").agg(F.min(F.struct(F.length("part").alias("n"), F.col("part").alias("p"))).alias("best")).select("s", "set_id", F.col("best.p").alias("key"))
+    rows, k = _texts(index), index.k
+    nodes = graph_nodes(rows, k)
+    ends = nodes.select("s", F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.right(F.col("s"), i))).alias("part"))
+    single = stored(ends.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("node")).where("n = 1").drop("n"), "suffixes")
+    shortest = single.groupBy("node").agg(F.min(F.length("part")).alias("least"))
+    known = single.join(shortest, "node").select("part", "least")
+    prefixes = rows.select("s", "set_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("s"), F.lit(1), i))).alias("part"))
+    cand = prefixes.join(known, "part").select("s", "set_id", "least", F.reverse(F.right("part", F.col("least"))).alias("back"))
+    best = cand.groupBy("s", "set_id").agg(F.min(F.struct("least", "back")).alias("best"))
+    return best.select("s", "set_id", F.reverse("best.back").alias("key"))
 
 
 def class_stats(index: Index, keyed: DataFrame) -> DataFrame:

@@ -1,18 +1,26 @@
 """Unitigs of the k-mer graph: contraction by pointer doubling, export, links and import.
 
 For a (k-1)-mer, an edge inside a unitig exists if exactly one k-mer ends with it and exactly one begins with
-it. Paths are solved in as many rounds as the longest has doublings; nodes that never reach a head lie on
-cycles, which are cut at their least k-mer and solved again.
+it. k-mers are dealt by their minimizer, so that neighbours mostly lie together, and chains are solved where
+they lie; what remains are the chains' heads, whose paths are solved in as many rounds as the longest has
+doublings. Nodes that never reach a head lie on cycles, which are cut at their least k-mer and solved again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import Kmer, reverse_complement
-from ..plans.index import Index, from_pairs
-from ..plans.store import dense_ids, stored
+from ..functions.windows import ship
+from ..plans.index import Index, from_pairs, n_named
+from ..plans.store import BROADCAST_ROWS, dense_ids, stored
+
+
+#: k-mers that one task contracts, and the length of the minimizers that deal them.
+LOCAL_NODES, LOCAL_M = 1 << 21, 12
 
 
 def oriented(index: Index) -> DataFrame:
@@ -34,30 +42,116 @@ def predecessors(nodes: DataFrame, kmer: Kmer, colored: bool) -> DataFrame:
     return (one.where("ls = rs") if colored else one).select("x", "prev")
 
 
-def _doubled(state: DataFrame) -> DataFrame:
-    """(x, ptr, dist) pushed along pointers until every node that can has reached a head (ptr = x, dist 0 there)."""
-    state, open_before = stored(state, "paths"), None
-    while True:
-        heads = state.where("ptr = x").select(F.col("x").alias("h"))
-        open_ = state.join(heads, state["ptr"] == heads["h"], "left_anti").count()
-        if not open_ or open_ == open_before:
-            return state
-        open_before = open_
-        ahead = state.select(F.col("x").alias("y"), F.col("ptr").alias("next"), F.col("dist").alias("more"))
-        state = stored(state.join(ahead, state["ptr"] == ahead["y"]).select("x", F.col("next").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist")), "paths")
-
+def _doubled(start: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(x, ptr, dist) of the nodes whose pointer has reached a head, and (x) of those that never do.
 
-def paths(nodes: DataFrame, prev: DataFrame) -> DataFrame:
+    start(x, ptr, dist): heads point at themselves with dist 0. Only nodes on the way are rewritten and
+    joined in a round; those that have arrived stay where they were written.
+    """
+    start = stored(start, "paths")
+    arrived, open_ = start.where("dist = 0"), start.where("dist > 0")
+    n = open_.count()
+    while n:
+        ends = arrived.withColumn("end", F.lit(True)).unionAll(open_.withColumn("end", F.lit(False)))
+        ahead = ends.select(F.col("x").alias("y"), F.col("ptr").alias("next"), F.col("dist").alias("more"), "end")
+        behind = F.broadcast(open_) if n <= BROADCAST_ROWS else open_  # n is its exact size
+        moved = behind.join(ahead, F.col("ptr") == F.col("y")).select("x", F.col("next").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist"), "end")
+        moved = stored(moved, "paths")
+        left = moved.where(~F.col("end")).drop("end")
+        m = left.count()
+        if m == n:  # nobody arrived in this round: all that is left lies on cycles
+            return arrived, open_.select("x")
+        arrived, open_, n = arrived.unionAll(moved.where("end").drop("end")), left, m
+    return arrived, None
+
+
+def _nearby(kmer: Kmer) -> Column:
+    """The least hash of a k-mer's short substrings, which neighbours mostly share."""
+    m = max(1, min(LOCAL_M, kmer.k - 1))
+    part = f"shiftright(x, 2 * i) & {(1 << 2 * m) - 1}L" if kmer.packed else f"substr(x, i + 1, {m})"
+    return F.expr(f"array_min(transform(sequence(0, {kmer.k - m}), i -> xxhash64({part})))")
+
+
+def solve_chains(x: np.ndarray, prev: np.ndarray, has_prev: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For nodes and their predecessors: the place of each one's chain head, its distance, and which heads begin a cut cycle.
+
+    A predecessor that isn't among the nodes ends the chain. A cycle is cut at its least node.
+    """
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    at = np.minimum(np.searchsorted(x[order], prev), n - 1)
+    at = order[at]
+    local = has_prev & (x[at] == prev)
+    first = np.where(local, at, np.arange(n))
+    cut = np.zeros(n, bool)
+
+    def doubled() -> tuple[np.ndarray, np.ndarray]:
+        ptr, dist = first.copy(), (first != np.arange(n)).astype(np.int64)
+        for _ in range(max(1, n).bit_length() + 1):
+            if (ptr == ptr[ptr]).all():
+                break
+            dist += dist[ptr]
+            ptr = ptr[ptr]
+        return ptr, dist
+
+    ptr, dist = doubled()
+    ring = first[ptr] != ptr  # a pointer that isn't at a head after so many rounds goes round
+    if ring.any():
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        least, hop = rank.copy(), first.copy()
+        for _ in range(n.bit_length() + 1):
+            least = np.minimum(least, least[hop])
+            hop = hop[hop]
+        cut = ring & (least == rank)
+        first = np.where(cut, np.arange(n), first)
+        ptr, dist = doubled()
+    return ptr, dist, cut
+
+
+def _contracted(start: DataFrame, kmer: Kmer, n: int) -> DataFrame:
+    """(x, lead, far, before) for start(x, prev): each node's head among the nodes dealt to its task, its distance, and that head's predecessor elsewhere."""
+    ship(start.sparkSession)
+    parts = -(-n // LOCAL_NODES) or 1
+    dealt = start.repartition(parts, _nearby(kmer)) if parts > 1 else start.repartition(1)
+    kind = pa.int64() if kmer.packed else pa.string()
+
+    def run(batches):
+        got = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.concat_tables(got).combine_chunks()
+        plain = (lambda c: c.to_numpy()) if kind == pa.int64() else (lambda c: np.array(c.to_pylist(), str))
+        x, own = plain(t.column("x")), t.column("prev")
+        has = own.is_valid().to_numpy()
+        prev = plain(own.fill_null(0 if kind == pa.int64() else ""))
+        lead, far, cut = solve_chains(x, prev, has)
+        before = pa.array(prev[lead], kind, mask=~has[lead] | cut[lead])
+        yield from pa.table({"x": pa.array(x, kind), "lead": pa.array(x[lead], kind), "far": pa.array(far), "before": before}).to_batches(max_chunksize=1 << 18)
+
+    return dealt.mapInArrow(run, f"x {kmer.type}, lead {kmer.type}, far long, before {kmer.type}")
+
+
+def paths(nodes: DataFrame, prev: DataFrame, kmer: Kmer) -> DataFrame:
     """(x, head, rank): each node's path, named by its first node, and its place there."""
+    zero = F.lit(0).cast("long")
+    rows = stored(_contracted(nodes.select("x").join(prev, "x", "left").select("x", "prev"), kmer, nodes.count()), "chains")
+    leads = rows.where("far = 0").select("x", "before")
+    if not leads.where("before is not null").take(1):
+        return rows.select("x", F.col("lead").alias("head"), F.col("far").alias("rank"))
+    ahead = rows.select(F.col("x").alias("before"), F.col("lead").alias("ptr"), (F.col("far") + 1).alias("dist"))
+    start = leads.join(ahead, "before", "left").select("x", F.coalesce("ptr", "x").alias("ptr"), F.coalesce("dist", zero).alias("dist"))
+    solved, ring = _doubled(start)
+    own = solved.select(F.col("x").alias("lead"), F.col("ptr").alias("head"), F.col("dist").alias("more"))
+    out = rows.join(own, "lead").select("x", "head", (F.col("far") + F.col("more")).alias("rank"))
+    if ring is None:
+        return out
+    return out.unionAll(_cycles(rows.join(ring.select(F.col("x").alias("lead")), "lead", "left_semi").select("x"), prev))
+
+
+def _cycles(ring: DataFrame, prev: DataFrame) -> DataFrame:
+    """(x, head, rank) of nodes that lie on cycles, which are cut at their least node, found by doubling over minima."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    start = nodes.select("x").join(prev, "x", "left").select("x", F.coalesce("prev", "x").alias("ptr"), F.when(F.col("prev").isNull(), zero).otherwise(one).alias("dist"))
-    done = _doubled(start)
-    heads = done.where("ptr = x").select(F.col("x").alias("h"))
-    solved = done.join(heads, done["ptr"] == heads["h"], "left_semi")
-    ring = stored(done.join(heads, done["ptr"] == heads["h"], "left_anti").select("x"), "ring")
-    if not ring.take(1):
-        return solved.select("x", F.col("ptr").alias("head"), F.col("dist").alias("rank"))
-    # the least node of each cycle, by doubling over minima
     edges = stored(ring.join(prev, "x"), "ring_edges")
     least = edges.select("x", F.col("prev").alias("ptr"), F.least("x", "prev").alias("m"))
     while True:
@@ -68,13 +162,13 @@ def paths(nodes: DataFrame, prev: DataFrame) -> DataFrame:
         if not moved.where("moved").take(1):
             break
     cut = edges.join(least.select("x", "m"), "x").select("x", F.when(F.col("x") == F.col("m"), F.col("x")).otherwise(F.col("prev")).alias("ptr"), F.when(F.col("x") == F.col("m"), zero).otherwise(one).alias("dist"))
-    return solved.unionAll(_doubled(cut)).select("x", F.col("ptr").alias("head"), F.col("dist").alias("rank"))
+    return _doubled(cut)[0].select("x", F.col("ptr").alias("head"), F.col("dist").alias("rank"))
 
 
 def unitig_lengths(index: Index, colored: bool = False) -> DataFrame:
     """(head, n_kmers) of the unitigs of both strands."""
     nodes = stored(oriented(index), "nodes")
-    return paths(nodes, stored(predecessors(nodes, index.kmer, colored), "edges")).groupBy("head").agg(F.count(F.lit(1)).alias("n_kmers"))
+    return paths(nodes, stored(predecessors(nodes, index.kmer, colored), "edges"), index.kmer).groupBy("head").agg(F.count(F.lit(1)).alias("n_kmers"))
 
 
 def colored_unitigs(index: Index, colored: bool = True) -> DataFrame:
@@ -85,7 +179,7 @@ def colored_unitigs(index: Index, colored: bool = True) -> DataFrame:
     """
     kmer = index.kmer
     nodes = stored(oriented(index), "nodes")
-    along = paths(nodes, stored(predecessors(nodes, kmer, colored), "edges")).join(nodes, "x")
+    along = paths(nodes, stored(predecessors(nodes, kmer, colored), "edges"), kmer).join(nodes, "x")
     first = F.row_number().over(Window.partitionBy("canon").orderBy("head", "rank"))
     kept = along.withColumn("nth", first).where("nth = 1").drop("nth")
     # the strand is chosen for whole paths: k-mer by k-mer the lesser head wins, and it is the same for all of a path
@@ -116,7 +210,7 @@ def import_unitigs(unitigs: DataFrame, color_sets: DataFrame, k: int, names: Dat
 
     rows = windows(unitigs, k, ["set_id"]).where("km is not null").select("km", "set_id").distinct()
     pairs = rows.join(color_sets, "set_id").select("km", F.explode("colors").alias("color"))
-    n = (color_sets.select(F.explode("colors").alias("c")).agg(F.max("c")).first()[0] or -1) + 1
+    n = n_named(color_sets.agg(F.max(F.array_max("colors"))).first()[0])
     if names is None:
         names = unitigs.sparkSession.range(n).select(F.col("id").alias("color_id"), F.col("id").cast("string").alias("name"))
     return from_pairs(pairs, names, k, True, rows.select("km"))

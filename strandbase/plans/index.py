@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import Kmer, bits_per_color, is_dense
-from ..functions.windows import windows
-from .store import dense_ids, stored
+from ..functions.windows import distinct_kmers, windows
+from .store import BROADCAST_ROWS, dense_ids, is_small, join_sized, maybe_broadcast, stored
 
 VERSION = 1
 
@@ -27,6 +27,7 @@ class Index:
     k: int
     n_colors: int
     both_strands: bool = True
+    _small: bool | None = field(default=None, repr=False, compare=False)
 
     @property
     def kmer(self) -> Kmer:
@@ -35,9 +36,19 @@ class Index:
     def windows(self, df: DataFrame, keep: list[str], seq: str = "seq", spread: int | None = None) -> DataFrame:
         return windows(df, self.k, keep, seq, self.both_strands, spread)
 
+    def dictionary(self) -> DataFrame:
+        """(km, set_id), marked for broadcast if its checked size allows."""
+        if self._small is None:
+            self._small = is_small(self.kmers, BROADCAST_ROWS)
+        return F.broadcast(self.kmers) if self._small else self.kmers
+
     def lookup(self, df: DataFrame, keep: list[str], seq: str = "seq", spread: int | None = None) -> DataFrame:
         """Columns `keep`, pos and set_id (null where the k-mer isn't in the index) for every window."""
-        return self.windows(df, keep, seq, spread).join(self.kmers, "km", "left").select(*keep, "pos", "set_id")
+        # windows without a k-mer get keys of their own that match nothing, so that a shuffle doesn't bring them together
+        slot = F.pmod("pos", F.lit(4096))
+        none = -1 - slot if self.kmer.packed else F.concat(F.lit("N"), slot.cast("string"))
+        found = self.windows(df, keep, seq, spread).withColumn("km", F.coalesce("km", none))
+        return found.join(self.dictionary(), "km", "left").select(*keep, "pos", "set_id")
 
     def lookup_colors(self, df: DataFrame, keep: list[str], seq: str = "seq") -> DataFrame:
         """Columns `keep`, pos and colors (null where the k-mer isn't in the index) for every window."""
@@ -63,10 +74,15 @@ class Index:
         return bits_per_color(self.n_colors)
 
     def checksum(self) -> DataFrame:
-        """One row: n_kmers, kmer_sum and pair_sum, equal for equal indexes whatever the set ids are."""
-        sets = self.color_sets.select("set_id", F.xxhash64("colors").alias("h"))
-        rows = self.kmers.join(sets, "set_id")
-        return rows.agg(F.count(F.lit(1)).alias("n_kmers"), F.bit_xor(F.xxhash64("km")).alias("kmer_sum"), F.bit_xor(F.xxhash64("km", "h")).alias("pair_sum"))
+        """One row: n_kmers, kmer_sum and pair_sum, equal for equal indexes whatever the set ids are.
+
+        A sum is the exclusive or of the first 60 bits of MD5 digests: of the k-mers' texts, and of those texts
+        with the digest of their color list behind them.
+        """
+        short = lambda c: F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+        sets = self.color_sets.select("set_id", F.md5(F.array_join(F.transform("colors", lambda c: c.cast("string")), ",")).alias("h"))
+        rows = self.kmers.join(maybe_broadcast(sets), "set_id").select(self.kmer.decode(F.col("km")).alias("w"), "h")
+        return rows.agg(F.count(F.lit(1)).alias("n_kmers"), F.bit_xor(short(F.col("w"))).alias("kmer_sum"), F.bit_xor(short(F.concat("w", "h"))).alias("pair_sum"))
 
     def difference(self, other: Index) -> DataFrame:
         """(side, km, colors) of the k-mers whose colors differ between two indexes."""
@@ -92,40 +108,42 @@ def default_names(spark: SparkSession, n: int) -> DataFrame:
 
 
 def from_pairs(pairs: DataFrame, names: DataFrame, k: int, both_strands: bool = True, dictionary: DataFrame | None = None, exact: bool = False) -> Index:
-    """Index of distinct (km, color) rows.
+    """Index of (km, color) rows, which may repeat.
 
-    Each k-mer's set is known by two 64-bit hash sums and its size, which aggregate in constant space; arrays
-    are made for one representative of each distinct set only. `exact` groups by the arrays themselves.
-    With a dictionary (km), its k-mers without a color get the empty set.
+    Pairs are shuffled once, by k-mer; they are made distinct and listed where they land. A set is then known
+    by two 64-bit hash sums and its size, and its list is taken from one representative k-mer. `exact` groups
+    by the lists themselves. With a dictionary (km), its k-mers without a color get the empty set.
     """
-    pairs = stored(pairs.select("km", F.col("color").cast("long").alias("color")).distinct(), "pairs")
-    if exact:
-        keyed = pairs.groupBy("km").agg(F.array_sort(F.collect_list("color")).alias("f1")).withColumns({"f2": F.lit(0).cast("long"), "n": F.size("f1").cast("long")})
-        if dictionary is not None:
-            keyed = dictionary.select("km").distinct().join(keyed, "km", "left").withColumns({"f1": F.coalesce("f1", F.array().cast("array<long>")), "f2": F.lit(0).cast("long"), "n": F.coalesce("n", F.lit(0).cast("long"))})
-    else:
-        keyed = pairs.groupBy("km").agg(F.bit_xor(F.xxhash64(F.lit(11), "color")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(23), "color", F.lit(5))).alias("f2"), F.count(F.lit(1)).alias("n"))
-        if dictionary is not None:
-            zero = F.lit(0).cast("long")
-            keyed = dictionary.select("km").distinct().join(keyed, "km", "left").select("km", *(F.coalesce(c, zero).alias(c) for c in ("f1", "f2", "n")))
+    dealt = pairs.select("km", F.col("color").cast("long").alias("color")).repartition("km").distinct()
+    hashes = {"f1": F.bit_xor(F.xxhash64(F.lit(11), "color")), "f2": F.bit_xor(F.xxhash64(F.lit(23), "color", F.lit(5))), "n": F.count(F.lit(1))}
+    keyed = dealt.groupBy("km").agg(*(v.alias(c) for c, v in hashes.items()), F.array_sort(F.collect_list("color")).alias("colors"))
+    if dictionary is not None:
+        zero = F.lit(0).cast("long")
+        keyed = dictionary.select("km").distinct().join(keyed, "km", "left").select("km", *(F.coalesce(c, zero).alias(c) for c in hashes), F.coalesce("colors", F.array().cast("array<long>")).alias("colors"))
     keyed = stored(keyed, "keyed")
-    key = ["f1", "f2", "n"]
-    sets = stored(dense_ids(keyed.groupBy(*key).agg(F.min("km").alias("rep")), "rep", "set_id"), "sets")
-    kmers = stored(keyed.join(sets.drop("rep"), key).select("km", "set_id"), "kmers")
-    made = pairs.join(sets.select(F.col("rep").alias("km"), "set_id"), "km").groupBy("set_id").agg(F.array_sort(F.collect_list("color")).alias("colors"))
-    color_sets = sets.select("set_id").join(made, "set_id", "left").select("set_id", F.coalesce(F.size("colors"), F.lit(0)).alias("size"), F.coalesce("colors", F.array().cast("array<long>")).alias("colors"))
+    key = ["colors"] if exact else list(hashes)
+    sets = stored(dense_ids(keyed.groupBy(*key).agg(F.min("km").alias("rep"), F.count(F.lit(1)).alias("n_kmers")), "rep", "set_id"), "sets")
+    kmers = stored(join_sized(keyed.select("km", *key), sets.select(*key, "set_id", "n_kmers"), key, "n_kmers").select("km", "set_id"), "kmers")
+    reps = maybe_broadcast(sets.select(F.col("rep").alias("km"), "set_id"))
+    color_sets = keyed.select("km", "colors").join(reps, "km").select("set_id", F.size("colors").alias("size"), "colors")
     return Index(kmers, stored(color_sets, "color_sets"), names, k, names.count(), both_strands)
 
 
+def n_named(top: int | None) -> int:
+    """How many colors there are if the greatest is `top` (None: there is none)."""
+    return 0 if top is None else top + 1
+
+
 def build(seqs: DataFrame, k: int, names: DataFrame | None = None, both_strands: bool = True, dictionary: DataFrame | None = None, allow_missing: bool = False, exact: bool = False, spread: int | None = None) -> Index:
     """Index of seqs(color, seq). A dictionary (km) fixes the k-mers; input k-mers outside it are an error unless allowed."""
-    own = windows(seqs, k, ["color"], "seq", both_strands, spread).where("km is not null").select("km", "color").distinct()
+    own = distinct_kmers(seqs, k, "color", "seq", both_strands, spread)
     if dictionary is not None:
+        own = stored(own, "pairs")
         if not allow_missing and own.select("km").join(dictionary, "km", "left_anti").take(1):
             raise ValueError("the dictionary lacks k-mers of the input")
         own = own.join(dictionary, "km", "left_semi")
     if names is None:
-        names = default_names(seqs.sparkSession, (seqs.agg(F.max("color")).first()[0] or -1) + 1)
+        names = default_names(seqs.sparkSession, n_named(seqs.agg(F.max("color")).first()[0]))
     return from_pairs(own, names, k, both_strands, dictionary, exact)
 
 
@@ -163,10 +181,11 @@ def merge(indexes: list[Index]) -> Index:
         names = named if names is None else names.unionAll(named)
         before += x.n_colors
     combined = stored(tagged.groupBy("km").agg(F.array_sort(F.collect_list("part")).alias("parts")), "combined")
-    distinct = combined.select("parts").distinct()
+    distinct = stored(combined.groupBy("parts").agg(F.count(F.lit(1)).alias("n_kmers")), "parts")
     # parts ascend by index and so do their colors; a stable join of the lists is the merged set
     lists = distinct.select("parts", F.explode("parts").alias("part")).join(sets, "part").groupBy("parts").agg(F.array_sort(F.flatten(F.collect_list("colors"))).alias("colors"))
+    lists = stored(lists, "lists")
     ids = stored(dense_ids(lists.select("colors").distinct(), "colors", "set_id"), "merged_sets")
-    by_parts = lists.join(ids, "colors").select("parts", "set_id")
-    kmers = stored(combined.join(by_parts, "parts").select("km", "set_id"), "kmers")
+    by_parts = lists.join(ids, "colors").select("parts", "set_id").join(distinct, "parts")
+    kmers = stored(join_sized(combined, by_parts, ["parts"], "n_kmers").select("km", "set_id"), "kmers")
     return Index(kmers, ids.select("set_id", F.size("colors").alias("size"), "colors"), names, first.k, before, first.both_strands)

@@ -79,8 +79,8 @@ def kmer_windows(spark, d):
 
 
 def reverse_complement(spark, d):
-    rows = passages(spark, d)
-    return rows.select("qid", dna.reverse_complement(F.col("seq")).alias("rc"), dna.is_dna(F.col("seq")).alias("valid"), dna.n_windows(F.col("seq"), K).cast("long").alias("n_windows"))
+    rows = documents(spark, d)
+    return rows.select("doc_id", dna.reverse_complement(F.col("seq")).alias("rc"), dna.is_dna(F.col("seq")).alias("valid"), dna.n_windows(F.col("seq"), K).cast("long").alias("n_windows"))
 
 
 def canonical_kmers(spark, d):
@@ -232,7 +232,7 @@ def minimizer_stats(spark, d):
 
 
 def finimizer_stats(spark, d):
-    return minimizers.finimizer_stats(small_index(spark, d)).select("length", "n_classes", "n_kmers", "n_correct")
+    return minimizers.finimizer_stats(small_index(spark, d)).where("n_classes > 0").select("length", "n_classes", "n_kmers", "n_correct")
 
 
 def index_checksum(spark, d):
@@ -240,13 +240,20 @@ def index_checksum(spark, d):
 
 
 def index_diff(spark, d):
-    """k-mers whose colors differ between the merged index and a joint build with the same colors."""
+    """How many k-mers of each color list differ between the index of all documents and that without the last source."""
+    docs, n = documents(spark, d), _n_sources(spark, d)
+    fewer = ix.build(docs.where(F.col("color") < n - 1), K, ix.default_names(spark, n), exact=True, spread=_spread(spark))
+    return index(spark, d).difference(fewer).select("side", _texts().alias("colors")).groupBy("side", "colors").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_diff(spark, d):
+    """k-mers whose colors differ between the merged index and a joint build with the same colors: none."""
     n = _shift(spark, d)
     docs = documents(spark, d).withColumn("color", F.when(F.col("lang") == "en", F.col("color")).otherwise(F.col("color") + n))
     merge_indexes(spark, d)
     merged = _once(spark, ("merged", d), lambda: None)
-    joint = ix.build(docs, K, ix.default_names(spark, 2 * n), exact=True, spread=_spread(spark))
-    return merged.difference(joint).select("side", _texts().alias("colors")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    joint = ix.build(docs, K, ix.default_names(spark, 2 * n), spread=_spread(spark))
+    return merged.difference(joint).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _pieces(spark, d):
@@ -295,15 +302,42 @@ def unique_support(spark, d):
     return mixture.unique_support(mixture.support(_results(spark, d)), 1, 0.25)
 
 
+def shared_support(spark, d):
+    """The same where no color has enough unique support, so that shared support decides."""
+    return mixture.unique_support(mixture.support(_results(spark, d)), 1_000_000, 0.25, 2)
+
+
 def consensus_support(spark, d):
     """Documents' colors by the consensus of their windows' sets."""
     rows = _document_hits(spark, d).where("set_id is not null").join(passage_index(spark, d).color_sets, "set_id")
-    return mixture.consensus(rows.select(F.col("qid").alias("query"), "colors"), 5, 0.5)
+    return mixture.consensus(rows.select(F.col("qid").alias("query"), "colors"), 150, 0.5, 20)
+
+
+def cluster_likelihood(spark, d):
+    """Likelihoods of passages against clusters of five sources, for each number of hits."""
+    pairs = align.threshold_pairs(index(spark, d), found(spark, d), 0.01)
+    results = align.collected(passages(spark, d), pairs)
+    n = _n_sources(spark, d)
+    clusters = spark.range(n).select(F.col("id").alias("color"), F.floor(F.col("id") / 5).alias("cluster"))
+    rows = mixture.cluster_table(results, clusters).groupBy(F.col("color").alias("cluster"), "hits", "size")
+    return rows.agg(F.sum("n").alias("n"), F.round(F.max("likelihood"), 9).alias("likelihood"))
+
+
+def _mixture(spark, d):
+    obs = mixture.observations(_results(spark, d))
+    return mixture.em_compatibility(obs, _n_sources(spark, d), 99.0)[0]
 
 
 def em_weights(spark, d):
-    weights = mixture.em(mixture.compatibility(mixture.observations(_results(spark, d)), 99.0), 20, 0.01, rounds=3, tolerance=0.0)
-    return spark.createDataFrame([(i, round(w, 6)) for i, w in enumerate(weights)], "color long, weight double")
+    """Mixture weights of all sources, fitted until they rest."""
+    return spark.createDataFrame([(i, round(w, 6)) for i, w in enumerate(_mixture(spark, d))], "color long, weight double")
+
+
+def em_likelihood(spark, d):
+    """The mixture's log likelihood under equal weights."""
+    n = _n_sources(spark, d)
+    table = mixture.compatibility(mixture.observations(_results(spark, d)), 99.0)
+    return spark.createDataFrame([(round(mixture.log_likelihood(table, [1.0 / max(n, 1)] * n, 0.01), 6),)], "log_likelihood double")
 
 
 _KINDS = {"threshold_all": ("all", 1), "threshold_relevant": ("relevant", 1), "threshold_maxhits": ("max-hits", 1), "threshold_min_hits": ("all", 120)}
@@ -313,8 +347,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dna_projection, kmer_windows, reverse_complement, canonical_kmers, color_kmers, kmer_color_sets, distinct_color_sets, sparse_dense_marks,
         kmer_hits, bases_covered, run_counts, print_color_sets, jsonl_results, legacy_results, result_report, filter_reads, reads_without_record,
-        records_without_read, merge_indexes, single_color_index, color_names, index_stats, minimizer_stats, finimizer_stats, index_checksum, index_diff,
-        unitig_kmers, unitig_stats, gfa_links, gfa_lines, import_export, unique_support, consensus_support, em_weights,
+        records_without_read, merge_indexes, single_color_index, color_names, index_stats, minimizer_stats, finimizer_stats, index_checksum, index_diff, merge_diff,
+        unitig_kmers, unitig_stats, gfa_links, gfa_lines, import_export, unique_support, shared_support, consensus_support, cluster_likelihood, em_weights, em_likelihood,
     )
 }
 QUERIES |= {n: _threshold(*a) for n, a in _KINDS.items()} | {"intersection": _intersection(1), "intersection_min_runs": _intersection(2)}
@@ -360,10 +394,31 @@ steps AS (SELECT qid, color, least({K}, coalesce(pos - lag(pos) OVER (PARTITION
 cov AS (SELECT qid, color, sum(s) AS b FROM steps GROUP BY qid, color),
 res AS (SELECT qid, string_agg(CAST(color AS VARCHAR), ',' ORDER BY color) AS cs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY color) AS hs, string_agg(CAST(b AS VARCHAR), ',' ORDER BY color) AS bs, count(*) AS size FROM hit JOIN cov USING (qid, color) GROUP BY qid)"""
 
+
+
+def _support(min_unique: str, min_shared: str) -> str:
+    """SQL of the unique-support rule over passages."""
+    bar_u, bar_s = f"greatest({min_unique}, floor(u * 0.25))", f"greatest({min_shared}, floor(s * 0.25))"
+    return _HITS + f""", sup AS (SELECT color, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_n, count(*) AS shared_n FROM hit JOIN res USING (qid) GROUP BY color),
+t AS (SELECT max(unique_n) AS u, max(shared_n) AS s FROM sup)
+SELECT color, unique_n, shared_n FROM sup, t WHERE CASE WHEN u >= {bar_u} THEN unique_n >= {bar_u} ELSE shared_n >= {bar_s} END"""
+
+
+#: CTEs u(id, seq), the passages' unitigs on one strand each, and their links; paths on a cycle have no head and are not there.
+_UNITIGS = f"""WITH RECURSIVE {_READS}, {_windows('pw', 'reads', 'qid', LINK_K)}, c AS (SELECT DISTINCT km FROM pw WHERE km IS NOT NULL),
+x AS (SELECT km AS x FROM c UNION SELECT reverse(translate(km, 'ACGT', 'TGCA')) FROM c),
+l AS (SELECT substr(x, 2) AS w, count(*) AS n, min(x) AS x FROM x GROUP BY 1), r AS (SELECT substr(x, 1, {LINK_K - 1}) AS w, count(*) AS n, min(x) AS x FROM x GROUP BY 1),
+e AS (SELECT l.x AS a, r.x AS b FROM l JOIN r USING (w) WHERE l.n = 1 AND r.n = 1 AND l.x != r.x),
+p(head, x, n, seq) AS (SELECT x, x, 1, x FROM x WHERE x NOT IN (SELECT b FROM e) UNION ALL SELECT head, e.b, n + 1, seq || right(e.b, 1) FROM p JOIN e ON e.a = p.x),
+path AS (SELECT head, max(n) AS n, reverse(translate(max_by(x, n), 'ACGT', 'TGCA')) AS back, max_by(seq, n) AS seq FROM p GROUP BY head),
+u AS (SELECT row_number() OVER (ORDER BY head) - 1 AS id, CASE WHEN head = back THEN substr(seq, 1, CAST(n // 2 + {LINK_K - 1} AS INT)) ELSE seq END AS seq FROM path WHERE head <= back),
+strand AS (SELECT id, '+' AS sign, seq FROM u UNION ALL SELECT id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM u),
+links AS (SELECT a.id AS a, a.sign AS s, b.id AS b, b.sign AS t FROM strand a JOIN strand b ON right(a.seq, {LINK_K - 1}) = substr(b.seq, 1, {LINK_K - 1}))"""
+
 ORACLE_SQL: dict[str, str] = {
     "dna_projection": f"WITH {_DOCS} SELECT doc_id, seq, CAST(length(seq) AS BIGINT) AS n_bases FROM docs",
     "kmer_windows": f"WITH {_READS}, {_windows('rw', 'reads', 'qid')} SELECT qid, pos, CASE WHEN km IS NULL THEN NULL ELSE w END AS kmer FROM rw",
-    "reverse_complement": f"WITH {_READS} SELECT qid, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, regexp_full_match(seq, '[ACGT]+') AS valid, CAST(greatest(length(seq) - {K - 1}, 0) AS BIGINT) AS n_windows FROM reads",
+    "reverse_complement": f"WITH {_DOCS} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, regexp_full_match(seq, '[ACGT]+') AS valid, CAST(greatest(length(seq) - {K - 1}, 0) AS BIGINT) AS n_windows FROM docs",
     "canonical_kmers": f"WITH {_READS}, {_windows('rw', 'reads', 'qid')} SELECT DISTINCT km AS kmer FROM rw WHERE km IS NOT NULL",
     "color_kmers": f"{_INDEX} SELECT color, count(*) AS n_kmers FROM dsp GROUP BY color",
     "kmer_color_sets": f"{_INDEX} SELECT km AS kmer, cs AS colors FROM ds WHERE size > 1",
@@ -394,7 +449,11 @@ o AS (SELECT km AS s, km, size FROM ps UNION SELECT reverse(translate(km, 'ACGT'
 m AS (SELECT *, list_min(list_transform(range(1, {SMALL_K - SMALL_M + 2}), lambda i: substr(s, CAST(i AS INT), {SMALL_M}))) AS key FROM o),
 u AS (SELECT key, count(DISTINCT color) AS us FROM m JOIN psp USING (km) GROUP BY key)
 SELECT CAST({SMALL_M} AS BIGINT) AS length, count(DISTINCT key) AS n_classes, count(*) AS n_kmers, CAST(sum(CASE WHEN size = us THEN 1 ELSE 0 END) AS BIGINT) AS n_correct, round(count(*) / count(DISTINCT key), 6) AS mean_class_size, round(avg(size / us), 6) AS mean_jaccard FROM m JOIN u USING (key)""",
-    "index_diff": "SELECT '' AS side, CAST(0 AS BIGINT) AS n WHERE false",
+    "index_diff": f"""{_INDEX}, fewer AS (SELECT km, string_agg(CAST(color AS VARCHAR), ',' ORDER BY color) AS cs FROM dsp WHERE color < (SELECT max(color) FROM docs) GROUP BY km),
+both_ AS (SELECT ds.cs AS a, fewer.cs AS b FROM ds FULL JOIN fewer USING (km) WHERE ds.cs IS DISTINCT FROM fewer.cs)
+SELECT 'left' AS side, a AS colors, count(*) AS n FROM both_ WHERE a IS NOT NULL GROUP BY a UNION ALL SELECT 'right', b, count(*) FROM both_ WHERE b IS NOT NULL GROUP BY b""",
+    "merge_diff": "SELECT CAST(0 AS BIGINT) AS n",
+    "index_checksum": f"{_INDEX} SELECT count(*) AS n_kmers, bit_xor(CAST('0x' || substr(md5(km), 1, 15) AS BIGINT)) AS kmer_sum, bit_xor(CAST('0x' || substr(md5(km || md5(cs)), 1, 15) AS BIGINT)) AS pair_sum FROM ds",
     "unitig_kmers": f"{_PASSAGES} SELECT km AS kmer, cs AS colors FROM ps",
     "unitig_stats": f"""WITH RECURSIVE {_READS}, {_windows('pw', 'reads', 'qid')}, c AS (SELECT DISTINCT km FROM pw WHERE km IS NOT NULL),
 x AS (SELECT km AS x FROM c UNION SELECT reverse(translate(km, 'ACGT', 'TGCA')) FROM c),
@@ -404,21 +463,45 @@ p(head, x, n) AS (SELECT x, x, 1 FROM x WHERE x NOT IN (SELECT b FROM e) UNION A
 h AS (SELECT head, max(n) AS n FROM p GROUP BY head)
 SELECT CAST(sum(n) AS BIGINT) AS n_kmers, count(*) AS n_unitigs, CAST(min(n) AS BIGINT) AS shortest, CAST(max(n) AS BIGINT) AS longest FROM h""",
     "import_export": f"{_PASSAGES} SELECT cs AS colors, count(*) AS n_kmers FROM ps GROUP BY cs",
-    "unique_support": _HITS + """, sup AS (SELECT color, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_n, CAST(sum(CASE WHEN size > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared_n FROM hit JOIN res USING (qid) GROUP BY color),
-t AS (SELECT max(unique_n) AS u, max(shared_n) AS s FROM sup)
-SELECT color, unique_n, shared_n FROM sup, t WHERE CASE WHEN u > 0 THEN unique_n >= greatest(1, floor(u * 0.25)) ELSE shared_n >= greatest(1, floor(s * 0.25)) END""",
-    "consensus_support": f"""{_DOC_HITS}, sup AS (SELECT q.qid AS query, psp.color, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_n, CAST(sum(CASE WHEN size > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared_n FROM q JOIN ps USING (km) JOIN psp USING (km) GROUP BY ALL),
+    "unique_support": _support("1", "1"),
+    "shared_support": _support("1000000", "2"),
+    "consensus_support": f"""{_DOC_HITS}, sup AS (SELECT q.qid AS query, psp.color, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_n, count(*) AS shared_n FROM q JOIN ps USING (km) JOIN psp USING (km) GROUP BY ALL),
 t AS (SELECT query, max(unique_n) AS u, max(shared_n) AS s FROM sup GROUP BY query)
-SELECT query, color, unique_n, shared_n FROM sup JOIN t USING (query) WHERE CASE WHEN u > 0 THEN unique_n >= greatest(5, floor(u * 0.5)) ELSE shared_n >= greatest(5, floor(s * 0.5)) END""",
+SELECT query, color, unique_n, shared_n FROM sup JOIN t USING (query) WHERE CASE WHEN u >= greatest(150, floor(u * 0.5)) THEN unique_n >= greatest(150, floor(u * 0.5)) ELSE shared_n >= greatest(20, floor(s * 0.5)) END""",
+    "cluster_likelihood": f"""{_ALIGN}, hit AS (SELECT qid, color // 5 AS cluster, count(*) AS hits FROM cnt JOIN tot USING (qid) WHERE c / n_all >= 0.01::DOUBLE AND n_rel >= 1 GROUP BY ALL),
+size AS (SELECT c // 5 AS cluster, count(*)::DOUBLE AS size FROM range((SELECT max(color) + 1 FROM docs)) AS r(c) GROUP BY 1),
+par AS (SELECT cluster, size, 0.65::DOUBLE / (0.35::DOUBLE + 0.01::DOUBLE / size) AS a, 0.35::DOUBLE / (0.35::DOUBLE + 0.01::DOUBLE / size) AS b FROM size),
+n AS (SELECT cluster, hits, count(*) AS n FROM hit GROUP BY ALL),
+lg AS (SELECT cluster, hits, size, n, lgamma(size + 1) - lgamma(hits + 1.0::DOUBLE) - lgamma(size - hits + 1) + lgamma(hits + a) + lgamma(size - hits + b) - lgamma(size + a) - lgamma(b) AS l FROM n JOIN par USING (cluster))
+SELECT cluster, hits, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS n, round(0.99::DOUBLE * exp(l), 9) AS likelihood FROM lg""",
+    "gfa_lines": f"""{_UNITIGS} SELECT 0 AS part, CAST(0 AS BIGINT) AS key, 'H' || chr(9) || 'VN:Z:1.0' AS line UNION ALL SELECT 1, id, 'S' || chr(9) || 'u' || id || chr(9) || seq || chr(9) || 'cs:i:0' FROM u
+UNION ALL SELECT 2, a, 'L' || chr(9) || 'u' || a || chr(9) || s || chr(9) || 'u' || b || chr(9) || t || chr(9) || '{LINK_K - 1}M' FROM links""",
+    "gfa_links": f"{_UNITIGS} SELECT s AS from_sign, t AS to_sign, count(*) AS n FROM links GROUP BY ALL",
+    "finimizer_stats": f"""WITH {_READS}, {_windows('pw', 'reads', 'qid', SMALL_K)}, {_sets('ps', 'pw', 'qid')},
+o AS (SELECT km AS s, km, size FROM ps UNION SELECT reverse(translate(km, 'ACGT', 'TGCA')), km, size FROM ps),
+pad AS (SELECT DISTINCT substr(s, 1, CAST(i AS INT)) AS s FROM o, range(1, {SMALL_K}) AS r(i) WHERE substr(s, 1, {SMALL_K - 1}) NOT IN (SELECT substr(s, 2) FROM o)),
+node AS (SELECT s FROM o UNION ALL SELECT s FROM pad),
+part AS (SELECT right(s, CAST(i AS INT)) AS p, i AS len, s AS node FROM node, range(1, {SMALL_K + 1}) AS r(i) WHERE i <= length(s)),
+single AS (SELECT p, min(len) AS len FROM part GROUP BY p HAVING count(*) = 1),
+found AS (SELECT s, km, size, min_by(p, lpad(CAST(len AS VARCHAR), 2, '0') || reverse(p)) AS key FROM (SELECT s, km, size, substr(s, CAST(j AS INT), CAST(i AS INT)) AS p FROM o, range(1, {SMALL_K + 1}) AS r(i), range(1, {SMALL_K + 1}) AS t(j) WHERE i + j <= {SMALL_K + 1}) JOIN single USING (p) GROUP BY s, km, size),
+u AS (SELECT key, count(DISTINCT color) AS us FROM found JOIN psp USING (km) GROUP BY key)
+SELECT CAST(length(key) AS BIGINT) AS length, count(DISTINCT key) AS n_classes, count(*) AS n_kmers, CAST(sum(CASE WHEN size = us THEN 1 ELSE 0 END) AS BIGINT) AS n_correct FROM found JOIN u USING (key) GROUP BY 1""",
 }
 
 
-def _em_sql(rounds: int = 3) -> str:
-    """The mixture rounds unrolled."""
-    sql = _HITS + ", lik AS (SELECT r.qid, c.color, CASE WHEN h.color IS NULL THEN 0.01::DOUBLE ELSE 0.99::DOUBLE END AS l FROM res r CROSS JOIN range(20) AS c(color) LEFT JOIN hit h ON h.qid = r.qid AND h.color = c.color), w0 AS (SELECT color, 0.05::DOUBLE AS w FROM range(20) AS c(color))"
+_EM_START = _HITS + """, n AS (SELECT max(color) + 1 AS n FROM docs),
+lik AS (SELECT r.qid, c.color, CASE WHEN h.color IS NULL THEN 0.01::DOUBLE ELSE 0.99::DOUBLE END AS l FROM res r CROSS JOIN range((SELECT n FROM n)) AS c(color) LEFT JOIN hit h ON h.qid = r.qid AND h.color = c.color),
+w0 AS MATERIALIZED (SELECT list(1.0::DOUBLE / n) AS w FROM n, range((SELECT n FROM n)))"""
+
+
+def _em_sql(rounds: int = 100) -> str:
+    """The mixture rounds unrolled, each with the weights in one list, and the first that moves them by less than 1e-5."""
+    sql = _EM_START
     for i in range(rounds):
-        sql += f", m{i} AS (SELECT qid, sum(l * w) AS m FROM lik JOIN w{i} USING (color) GROUP BY qid), w{i + 1} AS (SELECT color, sum(l * w / m) / (SELECT count(*) FROM res) AS w FROM lik JOIN w{i} USING (color) JOIN m{i} USING (qid) GROUP BY color)"
-    return sql + f" SELECT CAST(color AS BIGINT) AS color, round(w, 6) AS weight FROM w{rounds}"
+        sql += f""", w{i + 1} AS MATERIALIZED (SELECT list(v ORDER BY color) AS w FROM (SELECT color, sum(l * w[color + 1] / m) / (SELECT count(*) FROM res) AS v FROM lik JOIN (SELECT qid, sum(l * w[color + 1]) AS m FROM lik, w{i} GROUP BY qid) USING (qid), w{i} GROUP BY color))"""
+    moved = " UNION ALL ".join(f"SELECT {i + 1} AS i, b.w, list_distance(a.w, b.w) AS d FROM w{i} a, w{i + 1} b" for i in range(rounds))
+    return sql + f", moved AS ({moved}), last AS (SELECT w FROM moved WHERE d < 1e-5 OR i = {rounds} ORDER BY i LIMIT 1) SELECT CAST(c.color AS BIGINT) AS color, round(w[c.color + 1], 6) AS weight FROM last, range((SELECT n FROM n)) AS c(color)"
 
 
 ORACLE_SQL["em_weights"] = _em_sql()
+ORACLE_SQL["em_likelihood"] = _EM_START + " SELECT round(sum(m), 6) AS log_likelihood FROM (SELECT ln(sum(l * w[color + 1])) AS m FROM lik, w0 GROUP BY qid)"

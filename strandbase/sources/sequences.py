@@ -2,73 +2,112 @@
 
 from __future__ import annotations
 
-import gzip
 import re
-from collections.abc import Iterator
+import sys
+import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "ordinal long, header string, name string, seq string, qual string"
-
-
-def parse(data: bytes) -> Iterator[tuple[str, str, str | None]]:
-    """Header, sequence and quality of each record; FASTA may spread a sequence over lines, FASTQ has four lines."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    lines = data.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
-    first = next((x for x in lines if x), "")
-    if first.startswith("@"):
-        lines = [x for x in lines]
-        while lines and not lines[-1]:
-            lines.pop()
-        if len(lines) % 4:
-            raise ValueError("a FASTQ record has four lines")
-        for i in range(0, len(lines), 4):
-            if lines[i][:1] != "@" or lines[i + 2][:1] != "+":
-                raise ValueError(f"bad FASTQ record at line {i + 1}")
-            yield lines[i][1:], lines[i + 1], lines[i + 3]
-        return
-    header, parts = None, []
-    for line in lines:
-        if line.startswith(">"):
-            if header is not None:
-                yield header, "".join(parts), None
-            header, parts = line[1:], []
-        elif header is not None:
-            parts.append(line.strip())
-        elif line:
-            raise ValueError("sequence data before the first header")
-    if header is not None:
-        yield header, "".join(parts), None
+from ..functions.dna import name_token
+from ..plans.store import maybe_broadcast, scratch_dir
 
+#: File name endings (before .gz) that tell the format; other files are told by their first character.
+FASTA, FASTQ = (".fa", ".fna", ".fasta", ".ffn", ".faa", ".frn"), (".fq", ".fastq")
 
-def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source, ordinal, header, name, seq, qual) of every record; ordinal counts records of a file from 0."""
-    from ..functions.windows import ship
 
-    ship(spark)
-    names = ["source", *(c.split()[0] for c in SCHEMA.split(", "))]
+def qualified(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths as `source` names the files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        out.append(re.sub("^file:/+", "file:/", at.getFileSystem(conf).makeQualified(at).toUri().toString()))
+    return out
 
-    def run(batches):
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for i, (header, seq, qual) in enumerate(parse(data)):
-                    rows.append((path, i, header, header.split(" ")[0], seq, qual))
-                    if len(rows) == 10_000:
-                        yield batch(rows)
-                        rows = []
-                if rows:
-                    yield batch(rows)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _is_fastq(spark: SparkSession, path: str) -> bool:
+    name = path.lower().rstrip("/").removesuffix(".gz")
+    if name.endswith(FASTA) or name.endswith(FASTQ):
+        return name.endswith(FASTQ)
+    first = spark.read.text(path).where("value != ''").first()
+    return first is not None and first["value"].startswith("@")
+
+
+def _numbered(spark: SparkSession, paths: list[str], separator: str, no_lead: Column | None = None) -> DataFrame:
+    """(source, row, lead, value): pieces of text files between separators; row counts a file's pieces from 0.
+
+    Files are read in splits, each by a task of its own. A split's pieces are counted first; prefix sums over
+    the splits of a file, one row each, give its first number. Where `no_lead` holds for a file's first piece,
+    that piece is no row and lead is 1.
+    """
+    meta = [F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    rows = spark.read.option("lineSep", separator).text(paths).select(*meta, "value")
+    flag = F.lit(0) if no_lead is None else no_lead.cast("int")
+    splits = rows.groupBy("source", "block").agg(F.min(2 * F.col("id") + flag).alias("code"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    lead = F.coalesce(F.max(F.when(F.col("block") == 0, F.col("code") % 2)).over(Window.partitionBy("source")), F.lit(0))
+    starts = splits.select("source", "block", F.floor(F.col("code") / 2).alias("first"), F.coalesce(before, F.lit(0)).alias("before"), lead.alias("lead"))
+    row = F.col("id") - F.col("first") + F.col("before") - F.col("lead")
+    return rows.join(maybe_broadcast(starts), ["source", "block"]).select("source", row.alias("row"), "lead", "value").where("row >= 0")
+
+
+def _fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records begin where a line begins with '>'; the rest of a record's lines are its sequence."""
+    rows = _numbered(spark, paths, "\n>", F.col("value").rlike(r"\A\s*\z"))
+    first = (F.col("row") == 0) & (F.col("lead") == 0)  # this piece still has its '>'
+    late = F.raise_error(F.concat(F.lit("sequence data before the first header of "), F.col("source")))
+    text = F.when(~first, F.col("value")).when(F.col("value").startswith(">"), F.expr("substr(value, 2)")).otherwise(late)
+    rows = rows.select("source", "row", text.alias("value")).withColumn("end", F.locate("\n", F.col("value")))
+    header = F.when(F.col("end") > 0, F.expr("substr(value, 1, end - 1)")).otherwise(F.col("value"))
+    seq = F.when(F.col("end") > 0, F.regexp_replace(F.expr("substr(value, end + 1)"), r"\s+", "")).otherwise(F.lit(""))
+    return rows.select("source", F.col("row").alias("ordinal"), F.regexp_replace(header, r"\r$", "").alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
+
+
+def _fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Four lines to a record, brought together by file and record."""
+    rows = _numbered(spark, paths, "\n").select("source", "row", F.regexp_replace("value", r"\r$", "").alias("value"))
+    record, part = F.floor(F.col("row") / 4).alias("ordinal"), F.col("row") % 4
+    line = lambda i: F.max(F.when(F.col("part") == i, F.col("value")))
+    four = rows.select("source", record, part.alias("part"), "value").groupBy("source", "ordinal").agg(*(line(i).alias(f"l{i}") for i in range(4)))
+    full = four.where(F.concat_ws("", "l0", "l1", "l2", "l3") != "")  # blank lines may stand at the end
+    bad = F.coalesce(~F.col("l0").startswith("@") | ~F.col("l2").startswith("+"), F.lit(True)) | F.col("l3").isNull()
+    header = F.when(bad, F.raise_error(F.concat(F.lit("bad FASTQ record "), F.col("ordinal").cast("string"), F.lit(" of "), F.col("source")))).otherwise(F.expr("substr(l0, 2)"))
+    return full.select("source", "ordinal", header.alias("header"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, f"source string, {SCHEMA}")
+
+def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source, ordinal, header, name, seq, qual) of every record; ordinal counts the records of a file from 0.
+
+    All files of a format are one scan. Plain files are read in splits, so a file may be larger than a task's
+    memory; a gzip file is streamed by one task. A record must fit one value (2 GB). A malformed file is an
+    error when the rows are read.
+    """
+    given = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+    kinds: dict[bool, list[str]] = {}
+    for p in given:
+        kinds.setdefault(_is_fastq(spark, p), []).append(p)
+    parts = [(_fastq if fastq else _fasta)(spark, own) for fastq, own in kinds.items()]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.select("source", "ordinal", "header", name_token(F.col("header")).alias("name"), "seq", "qual")
+
+
+def from_stdin(spark: SparkSession, stream=None, chunk: int = 1 << 20) -> str:
+    """Copy standard input, piece by piece, to a file in the shared folder; its path."""
+    stream = stream or sys.stdin.buffer
+    head = stream.read(chunk)
+    ending = (".fq" if head.lstrip().startswith(b"@") else ".fa") if head[:2] != b"\x1f\x8b" else ".gz"
+    path = f"{scratch_dir(spark)}/strandbase/stdin-{uuid.uuid4().hex}{ending}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at)
+    try:
+        while head:
+            out.write(bytearray(head))
+            head = stream.read(chunk)
+    finally:
+        out.close()
+    return path
 
 
 def read_list(spark: SparkSession, path: str) -> list[str]:
@@ -77,14 +116,12 @@ def read_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def file_colors(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(color, seq) with one color for each file, and color_names."""
+    """(color, seq) with one color for each file, and color_names; all files are one scan."""
+    names = spark.createDataFrame(list(enumerate(paths)), "color_id long, name string")
     if not paths:
-        raise ValueError("no input files")
-    parts = [read_sequences(spark, p).select(F.lit(i).cast("long").alias("color"), "seq") for i, p in enumerate(paths)]
-    seqs = parts[0]
-    for p in parts[1:]:
-        seqs = seqs.unionAll(p)
-    return seqs, spark.createDataFrame(list(enumerate(paths)), "color_id long, name string")
+        return spark.createDataFrame([], "color long, seq string"), names
+    own = maybe_broadcast(spark.createDataFrame(list(enumerate(qualified(spark, paths))), "color long, source string"))
+    return read_sequences(spark, paths).join(own, "source").select("color", "seq"), names
 
 
 def sequence_colors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -94,10 +131,13 @@ def sequence_colors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(record, name, colors, kmer_hits, bases_covered) of a JSON-lines result; a bad line is an error."""
+    """(record, name, colors, kmer_hits, bases_covered) of a JSON-lines result; a bad line is an error.
+
+    record orders the lines by file, in a folder of part files by their names, and by their place there.
+    """
     schema = "name string, colors array<long>, kmer_hits array<long>, bases_covered array<long>"
-    lines = spark.read.text(path).withColumn("record", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parsed = lines.select("record", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    lines = _numbered(spark, [path], "\n").where(F.trim("value") != "")
+    parsed = lines.select(F.struct("source", "row").alias("record"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("record", "r.*")
 
 

@@ -1,3 +1,5 @@
+import gzip
+import io
 import json
 import random
 
@@ -61,6 +63,43 @@ def test_commands_end_to_end(spark, tmp_path, capsys):
     assert ix.load(spark, at("s")).n_colors == 1
 
 
+def test_reads_from_lists_and_standard_input(spark, tmp_path, capsys, monkeypatch):
+    r = random.Random(1)
+    seqs = [brute.dna(r, 40) for _ in range(2)]
+    at = lambda n: str(tmp_path / n)
+    run = lambda *a: main([str(x) for x in a], spark)
+    (tmp_path / "all.fna").write_text("".join(f">s{i}\n{s}\n" for i, s in enumerate(seqs)))
+    assert run("build", "--seq-colors", at("all.fna"), "-k", 7, "-o", at("i")) == 0
+    for i, s in enumerate(seqs):
+        (tmp_path / f"q{i}.fq").write_text(f"@s{i}\n{s}\n+\n{'I' * 40}\n")
+    (tmp_path / "in").write_text(f"{at('q0.fq')}\n{at('q1.fq')}\n")
+    (tmp_path / "out").write_text(f"{at('o0')}\n{at('o1')}\n")
+    go = ("threshold-pseudoalign", "-i", at("i"), "-d", 1.0)
+    assert run(*go, "--query-list", at("in"), "--query-output-list", at("out")) == 0
+    for i in range(2):
+        assert [json.loads(x) for x in lines(tmp_path / f"o{i}")] == [{"name": f"s{i}", "colors": [i]}]
+    (tmp_path / "one").write_text(at("q0.fq"))
+    assert run(*go, "--query-list", at("one"), "--query-output-list", at("out")) == 1
+    capsys.readouterr()
+    for text in ("".join(f">s{i}\n{s}\n" for i, s in enumerate(seqs)).encode(), (tmp_path / "q1.fq").read_bytes(), gzip.compress((tmp_path / "all.fna").read_bytes())):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(text)))
+        assert run(*go, "--sort-output") == 0
+        got = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+        assert [(x["name"], x["colors"]) for x in got] == ([("s1", [1])] if text[:1] == b"@" else [("s0", [0]), ("s1", [1])])
+    assert run("dump-color-names", "-i", at("i")) == 0
+    assert capsys.readouterr().out == "0\ts0\n1\ts1\n"
+    assert run(*go, "-q", at("q0.fq"), "-o", at("m"), "--legacy-output-format", "--report-hit-counts") == 1
+    (tmp_path / "ids").write_text("x")
+    assert run("filter-reads", "-p", at("o0"), "-r", at("q0.fq"), "-c", at("ids"), "-o", at("f.gz")) == 1
+    (tmp_path / "ids").write_text("0")
+    assert run("filter-reads", "-p", at("o0"), "-r", at("q0.fq"), "-c", at("ids"), "-o", at("f.gz")) == 0
+    found = [gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "f.gz").glob("part-*.gz")]
+    assert "".join(found) == (tmp_path / "q0.fq").read_text()
+    assert run("stats", "-i", at("i")) == 0
+    rows = dict(x.split("\t") for x in capsys.readouterr().out.splitlines())
+    assert rows["k"] == "7" and int(rows["n_canonical_kmers"]) == len(brute.build([(i, s) for i, s in enumerate(seqs)], 7))
+
+
 def test_entry_registers_every_sql():
     import __spark_entry__ as e
 

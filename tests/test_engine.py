@@ -1,5 +1,7 @@
 import collections
 import gzip
+import itertools
+import math
 import random
 
 import brute
@@ -11,6 +13,7 @@ from strandbase.functions import dna
 from strandbase.functions.windows import windows
 from strandbase.operators import align, minimizers, mixture, report, unitigs
 from strandbase.plans import index as ix
+from strandbase.plans import store
 from strandbase.sources import sequences, sinks
 from strandbase.streaming.align import align_stream
 
@@ -112,10 +115,13 @@ def test_merge_equals_joint_build(spark, k, tmp_path):
     assert ix.load_color_names(spark, str(tmp_path / "i")).count() == 9
 
 
-@pytest.mark.parametrize("k", [3, 4, 5, 7])
-def test_unitigs_cover_each_kmer_once(spark, k):
-    for seed in range(1 + (k < 5)):
+@pytest.mark.parametrize(("k", "local"), [(3, 20), (4, 1 << 21), (5, 30), (7, 60), (33, 50)])
+def test_unitigs_cover_each_kmer_once(spark, k, local, monkeypatch):
+    monkeypatch.setattr(unitigs, "LOCAL_NODES", local)
+    for seed in (1 if k < 5 else 0,):
         seqs = collection(seed, 3, 25, "ACGT" if seed else "AC") + [(5, "ACGTACGTACGT"), (5, "AATTAATTAATT")]
+        if k == 33:
+            seqs = collection(k, 3, 50)
         x = ix.build(frame(spark, seqs), k)
         model = brute.build(seqs, k)
         sets = {r["set_id"]: frozenset(r["colors"]) for r in x.color_sets.collect()}
@@ -146,22 +152,53 @@ def test_minimizers_match_brute_force(spark):
     assert (row["n_classes"], row["n_kmers"]) == (len(groups), len(both))
     assert row["n_correct"] == sum(s == union[g] for g, v in groups.items() for s in v)
     assert row["mean_jaccard"] == pytest.approx(sum(len(s) / len(union[g]) for g, v in groups.items() for s in v) / len(both))
-    total = minimizers.finimizer_stats(x).agg(F.sum("n_kmers")).first()[0]
-    assert total == len(both)
+    nodes = set(both) | {w[:i] for w in both if not any(v[1:] == w[:-1] for v in both) for i in range(1, k)}
+    ends = collections.Counter(w[-i:] for w in nodes for i in range(1, len(w) + 1))
+    want = {w: min((e - b, w[b:e][::-1]) for b in range(k) for e in range(b + 1, k + 1) if ends[w[b:e]] == 1) for w in both}
+    got = {r["s"]: (len(r["key"]), r["key"][::-1]) for r in minimizers.with_finimizer(x).collect()}
+    assert got == want
+    groups = {}
+    for w, key in want.items():
+        groups.setdefault(key, []).append(both[w])
+    for r in minimizers.finimizer_stats(x).collect():
+        mine = [v for (n, _), v in groups.items() if n == r["length"]]
+        assert (r["n_classes"], r["n_kmers"]) == (len(mine), sum(map(len, mine)))
+        assert r["n_correct"] == sum(s == frozenset().union(*v) for v in mine for s in v)
+    own = minimizers.with_key(x, lambda s: F.substring(s, 1, 2))
+    assert {(r["s"], r["key"]) for r in own.collect()} == {(w, w[:2]) for w in both}
+
+
+def test_ties_between_finimizers_go_by_the_reversed_text(spark):
+    # one k-mer and its complement; AC, CC, GG and GT each end one node, and of ACC's own AC < CC backwards as CA < CC
+    x = ix.build(frame(spark, [(0, "ACC")]), 3)
+    got = {r["s"]: r["key"] for r in minimizers.with_finimizer(x).collect()}
+    assert got == {"ACC": "A", "GGT": "T"}
 
 
 FASTA = b">a first\nACGT\nACGG\n>b\n\n>c\"q\nTTTT\n"
 FASTQ = b"@a x\nACGT\n+\n@III\n@b\nGG\n+b\nII\n"
 
 
+def records(spark, *paths, columns=("ordinal", "name", "seq", "qual")):
+    return [tuple(r) for r in sequences.read_sequences(spark, list(map(str, paths))).orderBy("source", "ordinal").select(*columns).collect()]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "x.fna").write_bytes(FASTA)
     with gzip.open(tmp_path / "y.fq.gz", "wb") as f:
         f.write(FASTQ)
-    got = [tuple(r) for r in sequences.read_sequences(spark, str(tmp_path / "x.fna")).select("ordinal", "name", "seq", "qual").collect()]
-    assert got == [(0, "a", "ACGTACGG", None), (1, "b", "", None), (2, 'c"q', "TTTT", None)]
-    got = [tuple(r) for r in sequences.read_sequences(spark, str(tmp_path / "y.fq.gz")).select("header", "seq", "qual").collect()]
-    assert got == [("a x", "ACGT", "@III"), ("b", "GG", "II")]
+    assert records(spark, tmp_path / "x.fna") == [(0, "a", "ACGTACGG", None), (1, "b", "", None), (2, 'c"q', "TTTT", None)]
+    assert records(spark, tmp_path / "y.fq.gz", columns=("header", "seq", "qual")) == [("a x", "ACGT", "@III"), ("b", "GG", "II")]
+    (tmp_path / "untold").write_bytes(FASTQ + b"\n")
+    assert records(spark, tmp_path / "untold", columns=("ordinal", "seq")) == [(0, "ACGT"), (1, "GG")]
+    (tmp_path / "blank.fa").write_bytes(b"\r\n\n>a  b\r\nAC\r\n G T\r\n>\n>z\n")
+    assert records(spark, tmp_path / "blank.fa") == [(0, "a", "ACGT", None), (1, "", "", None), (2, "z", "", None)]
+    for name, text in (("bad.fa", b"ACGT\n>a\nAC\n"), ("bad.fq", b"@a\nAC\n-\nII\n"), ("short.fq", b"@a\nAC\n+\n")):
+        (tmp_path / name).write_bytes(text)
+        with pytest.raises(Exception, match="first header|bad FASTQ"):
+            records(spark, tmp_path / name)
+    (tmp_path / "empty.fa").write_bytes(b"")
+    assert records(spark, tmp_path / "empty.fa") == []
     (tmp_path / "ids").write_text("3\n\n5\n")
     assert sorted(r[0] for r in sequences.read_color_ids(spark, str(tmp_path / "ids")).collect()) == [3, 5]
     (tmp_path / "bad").write_text("3\nx\n")
@@ -171,6 +208,117 @@ def test_readers(spark, tmp_path):
     assert sequences.read_metadata(spark, str(tmp_path / "meta")) == {"num_colors": 3, "num_color_sets": 2, "k": 31}
 
 
+def test_files_are_read_in_splits(spark, tmp_path):
+    r = random.Random(2)
+    fasta = [(f"r{i}", brute.dna(r, r.randrange(90))) for i in range(400)]
+    (tmp_path / "a.fa").write_text("".join(f">{n} x\n" + "".join(f"{s[i : i + 30]}\n" for i in range(0, len(s), 30)) for n, s in fasta))
+    fastq = [(f"q{i}", brute.dna(r, 30)) for i in range(400)]
+    (tmp_path / "b.fq").write_text("".join(f"@{n}\n{s}\n+\n@{'I' * 29}\n" for n, s in fastq))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = sequences.read_sequences(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fq")])
+        got = [tuple(x) for x in rows.orderBy("source", "ordinal").select("ordinal", "name", "seq").collect()]
+        # the last record in a folder of part files decides, whatever the order in which Spark reads them
+        (tmp_path / "out").mkdir()
+        (tmp_path / "out" / "part-0").write_text('{"name": "a", "colors": [1]}\n')
+        (tmp_path / "out" / "part-1").write_text("".join(f'{{"name": "{n}", "colors": []}}\n' for n in ["b"] * 100 + ["a"]))
+        results = sequences.read_results(spark, str(tmp_path / "out"))
+        kept = report.kept_names(results, spark.createDataFrame([(1,)], "color_id long")).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert got == [(i, n, s) for part in (fasta, fastq) for i, (n, s) in enumerate(part)]
+    assert results.rdd.getNumPartitions() >= 1 and kept == []
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(300):
+        p = tmp_path / f"g {i}.fna"
+        p.write_text(f">s\n{brute.dna(random.Random(i), 20)}\n")
+        paths.append(str(p))
+    seqs, names = sequences.file_colors(spark, [*paths, paths[0]])
+    assert len(seqs._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    assert sorted(r["color"] for r in seqs.collect()) == list(range(301)) and names.count() == 301
+    seqs, names = sequences.file_colors(spark, [])
+    assert ix.build(seqs, 3, names).kmers.count() == 0
+
+
+def test_one_color_is_a_color(spark):
+    seqs = [(0, "ACGTA")]
+    one = ix.build(frame(spark, seqs), 3)
+    assert one.n_colors == 1 and [r["name"] for r in one.color_names.collect()] == ["color_0"]
+    two = ix.merge([one, ix.build(frame(spark, [(0, "ACGG")]), 3)])
+    assert two.n_colors == 2 and as_dict(two) == brute.build([(0, "ACGTA"), (1, "ACGG")], 3)
+    read = spark.createDataFrame([(0, "NNNN")], "qid long, seq string")
+    assert align.intersection_align(one, read, 0).first()["colors"] == [0]
+    again = unitigs.import_unitigs(unitigs.colored_unitigs(one), one.color_sets, 3)
+    assert again.n_colors == 1
+    assert ix.build(frame(spark, []), 3).n_colors == 0
+
+
+def test_blocks_of_windows_and_metrics_of_ones_own(spark, monkeypatch):
+    monkeypatch.setattr(align, "BLOCK", 5)
+    k, seqs = 5, collection(11)
+    index, model = ix.build(frame(spark, seqs), k), brute.build(seqs, k)
+    reads = [(i, s + "N" + s[:9]) for i, (_, s) in enumerate(seqs)]
+    df = spark.createDataFrame(reads, "qid long, seq string")
+    ids = {i: brute.sids(model, s, k) for i, s in reads}
+    found = align.looked_up(index, df)
+    runs = {r["qid"]: r["n_runs"] for r in align.run_counts(found).collect()}
+    assert runs == {i: len([x for x, _ in itertools.groupby(v) if x is not None]) for i, v in ids.items() if v}
+    align.register_metric("last_hit", lambda x, found, pairs: found.join(x.color_sets, "set_id").select("qid", "pos", F.explode("colors").alias("color")).groupBy("qid", "color").agg(F.max("pos").alias("last_hit")))
+    try:
+        with pytest.raises(ValueError):
+            align.register_metric("last_hit", None)
+        rule = lambda x, found: align.threshold_pairs(x, found, 0.2)
+        for r in align.align(index, df, rule, ("bases_covered", "last_hit", "kmer_hits")).collect():
+            v = ids[r["qid"]]
+            assert r["colors"] == brute.threshold(v, 0.2, "all", 1)
+            assert r["bases_covered"] == [brute.covered(v, c, k) for c in r["colors"]]
+            assert r["last_hit"] == [max(i for i, x in enumerate(v) if x and c in x) for c in r["colors"]]
+    finally:
+        del align.METRICS["last_hit"]
+    with pytest.raises(ValueError):
+        align.threshold_align(index, df, 0.2, metrics=("none",)).collect()
+
+
+def test_joins_with_common_keys(spark, monkeypatch):
+    rows = [(i, i % 7 if i % 2 else 100) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, key long")
+    sized = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"))
+    want = sorted((k, i, max(j for j, x in rows if x == k)) for i, k in rows)
+    for small, hot in ((500_000, 4096), (0, 4), (0, 4096)):
+        monkeypatch.setattr(store, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(store, "HOT_KEYS", hot)
+        monkeypatch.setattr(store, "is_small", lambda df, rows=small: df.limit(rows + 1).count() <= rows)
+        assert sorted(tuple(r[c] for c in ("key", "i", "top")) for r in store.join_sized(df, sized, ["key"], "n").collect()) == want
+
+
+def test_scratch_is_removed_and_shared(spark):
+    before = store.written()
+    df = store.stored(spark.range(5), "x")
+    new = store.written()[len(before) :]
+    assert df.count() == 5 and len(new) == 1
+    store.drop(spark, new)
+    assert store.written() == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ"):
+        spark.read.parquet(new[0]).count()
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://far:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError):
+        store.scratch_dir(Elsewhere)
+
+
 def test_lines_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(0, 'n"1', [0, 2], [5, 4]), (1, "m", [], [])], "qid long, name string, colors array<long>, kmer_hits array<long>")
     got = [r[0] for r in rows.orderBy("qid").select(sinks.jsonl(rows, ("kmer_hits",))).collect()]
@@ -200,18 +348,91 @@ def test_report_and_filter(spark):
         report.filter_reads(reads, results.where("name != 'b'"), targets)
 
 
+def brute_em(colors, n, k, w, update_w, rounds, tolerance=1e-5):
+    """colors and n of each observation; plain loops over all components."""
+    theta = [1 / k] * k
+    for _ in range(rounds):
+        new, yes, no = [0.0] * k, 0.0, 0.0
+        for own, m in zip(colors, n, strict=True):
+            lik = [(w if c in own else 1) / (w + 1) for c in range(k)]
+            mass = sum(t * x for t, x in zip(theta, lik, strict=True))
+            for c in range(k):
+                part = m * theta[c] * lik[c] / mass
+                new[c] += part / sum(n)
+                yes, no = (yes + part, no) if c in own else (yes, no + part)
+        new_w = yes / no if update_w else w
+        moved = (sum((a - b) ** 2 for a, b in zip(new, theta, strict=True)) + (new_w - w) ** 2) ** 0.5
+        theta, w = new, new_w
+        if moved < tolerance:
+            break
+    return theta, w
+
+
 def test_mixture(spark):
-    results = spark.createDataFrame([([0],)] * 6 + [([1],)] * 2 + [([0, 1],)] * 4, "colors array<long>")
+    lists = [[0]] * 6 + [[1]] * 2 + [[0, 1]] * 4 + [[2, 3]] * 3 + [[0, 3]] * 2 + [[]] * 3
+    results = spark.createDataFrame([(x,) for x in lists], "colors array<long>")
     obs = mixture.observations(results)
-    w = mixture.em(mixture.compatibility(obs, 99.0), 2, 0.0, rounds=200, tolerance=1e-9)
-    assert w == pytest.approx([0.75, 0.25], abs=1e-4)
-    weights, odds = mixture.em_compatibility(obs, 2, update_w=True, rounds=5)
-    assert sum(weights) == pytest.approx(1) and odds > 0
+    n = collections.Counter(map(tuple, lists))
+    del n[()]
+    own, sizes = list(n), list(n.values())
+    for w, update, rounds in ((99.0, False, 100), (4.0, False, 3), (4.0, True, 7), (2.0, True, 100)):
+        want = brute_em(own, sizes, 5, w, update, rounds)
+        got = mixture.em_compatibility(obs, 5, w, update, rounds)
+        assert got[0] == pytest.approx(want[0], abs=1e-9) and got[1] == pytest.approx(want[1], rel=1e-9)
+        if not update:
+            assert mixture.em(mixture.compatibility(obs, w), 5, 1 / (w + 1), rounds) == pytest.approx(want[0], abs=1e-9)
+    # likelihoods of one's own, and the mixture's likelihood against the enumeration of all assignments
+    lik = lambda c: 0.2 + 0.1 * c
+    table = mixture.likelihoods(obs, lik)
+    theta = [0.5, 0.2, 0.1, 0.15, 0.05]
+    want = sum(m * math.log(sum(theta[c] * (lik(c) if c in x else 0.01) for c in range(5))) for x, m in n.items())
+    assert mixture.log_likelihood(table, theta, 0.01) == pytest.approx(want)
+    reads = [x for x in lists if x][4:10]
+    few = spark.createDataFrame([(x,) for x in reads], "colors array<long>")
+    every = sum(math.prod(theta[c] * (lik(c) if c in x else 0.01) for c, x in zip(z, reads, strict=True)) for z in itertools.product(range(5), repeat=len(reads)))
+    assert mixture.log_likelihood(mixture.likelihoods(mixture.observations(few), lik), theta, 0.01) == pytest.approx(math.log(every))
+    assert mixture.em(table.limit(0), 2) == [0.5, 0.5]
+
+
+def test_support_rules(spark):
+    frame_ = lambda rows: spark.createDataFrame(rows, "color long, unique_n long, shared_n long")
+    kept = lambda df: sorted(r["color"] for r in df.collect())
+    results = spark.createDataFrame([([0],)] * 6 + [([1],)] * 2 + [([0, 1],)] * 4, "colors array<long>")
     sup = mixture.support(results)
-    assert {r["color"] for r in mixture.unique_support(sup, 1, 0.5).collect()} == {0}
-    assert {r["color"] for r in mixture.combined_support(sup, 0.5, 0.5, 10).collect()} == {0}
-    assert mixture.combined_support(sup, 0.5, 0.5, 0).count() == 0
-    assert mixture.ln_binomial(5, 2) == pytest.approx(2.302585093)
+    assert sorted(map(tuple, sup.collect())) == [(0, 6, 10), (1, 2, 6)]
+    assert kept(mixture.unique_support(sup, 1, 0.5)) == [0]
+    low = frame_([(0, 2, 9), (1, 1, 8), (2, 0, 1)])
+    assert kept(mixture.unique_support(low, 3, 0.5)) == [0, 1]  # nobody has three: shared support decides
+    assert kept(mixture.unique_support(low, 2, 0.5)) == [0]
+    assert kept(mixture.unique_support(low, 3, 0.5, 9)) == [0] and kept(mixture.unique_support(low, 3, 0.5, 10)) == []
+    assert kept(mixture.unique_support(low, 0, 0.0)) == [0, 1, 2] and kept(mixture.unique_support(low.limit(0), 1, 0.5)) == []
+    assert kept(mixture.combined_support(sup, 0.5, 0.5, 10)) == [0] and mixture.combined_support(sup, 0.5, 0.5, 0).count() == 0
+    # segments: shared support counts all of them
+    seg = [(0, [0]), (0, [0]), (0, [0, 1]), (0, [1, 2]), (1, [3]), (1, [3, 4]), (1, [4])]
+    rows = spark.createDataFrame(seg, "query long, colors array<long>")
+    got = lambda *a: sorted((r["query"], r["color"], r["unique_n"], r["shared_n"]) for r in mixture.consensus(rows, *a).collect())
+    assert got(2, 0.5) == [(0, 0, 2, 3), (1, 3, 1, 2), (1, 4, 1, 2)]
+    assert got(3, 0.5, 2) == [(0, 0, 2, 3), (0, 1, 0, 2), (1, 3, 1, 2), (1, 4, 1, 2)]
+
+
+def test_cluster_likelihood(spark):
+    def brute_value(k, n, pi=0.65):
+        phi = 1 - pi + 0.01 / n
+        a, b = pi / phi, (1 - pi) / phi
+        return 0.01 if k == 0 else 0.99 * math.exp(mixture.ln_beta_binomial(k, n, a, b) - mixture.ln_beta_binomial(n, n, a, b))
+
+    cases = [(k, n) for n in (1, 2, 5, 10, 300) for k in {0, 1, n // 2, n}]
+    df = spark.createDataFrame(cases, "k long, n long").select("k", "n", mixture.cluster_likelihood(F.col("k"), F.col("n")).alias("v"))
+    for r in df.collect():
+        assert r["v"] == pytest.approx(brute_value(r["k"], r["n"]))
+    value = {(r["k"], r["n"]): r["v"] for r in df.collect()}
+    assert value[5, 5] == pytest.approx(0.99) and value[1, 1] == pytest.approx(0.99) and value[1, 10] == pytest.approx(0.224, abs=1e-3)
+    assert mixture.ln_binomial(5, 2) == pytest.approx(math.log(10))
+    results = spark.createDataFrame([([0, 1, 2],), ([0, 3],)], "colors array<long>")
+    clusters = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "color long, cluster long")
+    rows = mixture.cluster_table(results, clusters)
+    assert sorted((r["color"], r["hits"], r["size"]) for r in rows.collect()) == [(0, 1, 2), (0, 2, 2), (1, 1, 2), (1, 1, 2)]
+    assert sum(mixture.em(rows, 2, 0.01)) == pytest.approx(1)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -256,4 +477,4 @@ def test_merged_index_keeps_documents_without_language(spark, tmp_path):
         index = brute.build([(c if lang == "en" else c + n, seqs[i]) for i, (c, lang, _) in enumerate(own)], queries.K)
         want = collections.Counter(",".join(map(str, sorted(c))) for c in index.values())
         assert {x["colors"]: x["n_kmers"] for x in queries.merge_indexes(spark, d).collect()} == want
-        assert queries.index_diff(spark, d).count() == 0
+        assert queries.merge_diff(spark, d).first()["n"] == 0
