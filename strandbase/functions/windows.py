@@ -8,6 +8,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,16 +42,27 @@ def ship(spark: SparkSession) -> None:
 
 def encode(bases: np.ndarray, k: int, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all windows and whether each is valid; bases as 0 to 3, others 4."""
-    n = len(bases) - k + 1
     bad = np.concatenate(([0], np.cumsum(bases > 3)))
     valid = bad[k:] == bad[:-k]
-    b = (bases & 3).astype(np.int64)
-    forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i in range(k):
-        part = b[i : i + n]
-        forward |= part << 2 * (k - 1 - i)
-        back |= (3 - part) << 2 * i
-    return (np.minimum(forward, back) if canonical else forward), valid
+    forward = (bases & 3).astype(np.int64)
+    back = 3 - forward
+    out_forward = out_back = None
+    done, size = 0, 1  # windows of `size` bases, doubled; those that k's binary digits name are joined
+    while True:
+        if k & size:
+            if out_forward is None:
+                out_forward, out_back = forward, back
+            else:
+                m = len(bases) - done - size + 1
+                out_forward = (out_forward[:m] << 2 * size) | forward[done : done + m]
+                out_back = out_back[:m] | (back[done : done + m] << 2 * done)
+            done += size
+        if done == k:
+            break
+        m = len(bases) - 2 * size + 1
+        forward, back = (forward[:m] << 2 * size) | forward[size : size + m], back[:m] | (back[size : size + m] << 2 * size)
+        size *= 2
+    return (np.minimum(out_forward, out_back) if canonical else out_forward), valid
 
 
 def _texts(seq: bytes, k: int, canonical: bool) -> list[str | None]:
@@ -117,6 +129,54 @@ def distinct_kmers(df: DataFrame, k: int, color: str, seq: str = "seq", canonica
     return src.mapInArrow(run, f"color long, km {'long' if packed else 'string'}")
 
 
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each number, whose exclusive or stands for a set."""
+    y = (x.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (y ^ (y >> np.uint64(31))).view(np.int64)
+
+
+def sets_by_kmer(pairs: DataFrame) -> DataFrame:
+    """(km, f1, f2, n, colors) for (km, color) rows: each k-mer once, with its distinct colors and two hash sums of them.
+
+    Pairs are shuffled by k-mer and sorted where they land; then one pass over the sorted rows finds repeats
+    and groups. A k-mer's colors are held at once, nothing else.
+    """
+    ship(pairs.sparkSession)
+    kind = pairs.schema["km"].dataType.simpleString()
+    km_type = pa.int64() if kind == "bigint" else pa.string()
+    src = pairs.select("km", F.col("color").cast("long").alias("color")).repartition("km").sortWithinPartitions("km", "color")
+
+    def made(kms: pa.Array, colors: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(np.append(starts, len(colors)))
+        sums = [np.bitwise_xor.reduceat(_mixed(colors, seed), starts) for seed in (11, 23)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(colors)), pa.int32()), pa.array(colors))
+        return pa.RecordBatch.from_arrays([kms.take(pa.array(starts)), pa.array(sums[0]), pa.array(sums[1]), pa.array(n.astype(np.int64)), lists], names=["km", "f1", "f2", "n", "colors"])
+
+    def run(batches):
+        held: list[tuple[pa.Array, np.ndarray]] = []  # the last k-mer's rows
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kms, colors = b.column(0), b.column(1).to_numpy()
+            if held:
+                kms, colors = pa.concat_arrays([*(k for k, _ in held), kms]), np.concatenate([*(c for _, c in held), colors])
+            other = pc.not_equal(kms[1:], kms[:-1]).to_numpy(zero_copy_only=False)
+            new = np.append(True, other | (colors[1:] != colors[:-1]))
+            first = np.append(True, other)[new]
+            kms, colors = kms.filter(pa.array(new)), colors[new]
+            starts = np.flatnonzero(first)
+            last = int(starts[-1])
+            if len(starts) > 1:
+                yield made(kms[:last], colors[:last], starts[:-1])
+            held = [(kms[last:], colors[last:])]
+        if held:
+            yield made(held[0][0], held[0][1], np.zeros(1, np.int64))
+
+    return src.mapInArrow(run, f"km {'long' if km_type == pa.int64() else 'string'}, f1 long, f2 long, n long, colors array<long>")
+
+
 def windows(df: DataFrame, k: int, keep: list[str], seq: str = "seq", canonical: bool = True, spread: int | None = None) -> DataFrame:
     """Columns `keep`, pos and km for every window of every sequence; km is null if the window has a non-ACGT byte.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import Kmer, bits_per_color, is_dense
-from ..functions.windows import distinct_kmers, windows
+from ..functions.windows import distinct_kmers, sets_by_kmer, windows
 from .store import BROADCAST_ROWS, dense_ids, is_small, join_sized, maybe_broadcast, stored
 
 VERSION = 1
@@ -110,18 +110,17 @@ def default_names(spark: SparkSession, n: int) -> DataFrame:
 def from_pairs(pairs: DataFrame, names: DataFrame, k: int, both_strands: bool = True, dictionary: DataFrame | None = None, exact: bool = False) -> Index:
     """Index of (km, color) rows, which may repeat.
 
-    Pairs are shuffled once, by k-mer; they are made distinct and listed where they land. A set is then known
+    Pairs are shuffled once, by k-mer, and made distinct and listed where they land. A set is then known
     by two 64-bit hash sums and its size, and its list is taken from one representative k-mer. `exact` groups
     by the lists themselves. With a dictionary (km), its k-mers without a color get the empty set.
     """
-    dealt = pairs.select("km", F.col("color").cast("long").alias("color")).repartition("km").distinct()
-    hashes = {"f1": F.bit_xor(F.xxhash64(F.lit(11), "color")), "f2": F.bit_xor(F.xxhash64(F.lit(23), "color", F.lit(5))), "n": F.count(F.lit(1))}
-    keyed = dealt.groupBy("km").agg(*(v.alias(c) for c, v in hashes.items()), F.array_sort(F.collect_list("color")).alias("colors"))
+    hashes = ["f1", "f2", "n"]
+    keyed = sets_by_kmer(pairs)
     if dictionary is not None:
         zero = F.lit(0).cast("long")
         keyed = dictionary.select("km").distinct().join(keyed, "km", "left").select("km", *(F.coalesce(c, zero).alias(c) for c in hashes), F.coalesce("colors", F.array().cast("array<long>")).alias("colors"))
     keyed = stored(keyed, "keyed")
-    key = ["colors"] if exact else list(hashes)
+    key = ["colors"] if exact else hashes
     sets = stored(dense_ids(keyed.groupBy(*key).agg(F.min("km").alias("rep"), F.count(F.lit(1)).alias("n_kmers")), "rep", "set_id"), "sets")
     kmers = stored(join_sized(keyed.select("km", *key), sets.select(*key, "set_id", "n_kmers"), key, "n_kmers").select("km", "set_id"), "kmers")
     reps = maybe_broadcast(sets.select(F.col("rep").alias("km"), "set_id"))
