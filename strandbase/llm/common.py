@@ -2,67 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.windows import ship
+from ..plans import store
+from ..plans.store import is_small, maybe_broadcast, scratch_dir, stored
+
+__all__ = ["Batches", "arrow_type", "is_small", "maybe_broadcast", "per_row", "scratch_dir", "settled", "ship", "sliced", "stored"]
+
 Batches = Iterator[pa.RecordBatch]
 
-#: A side of a join is broadcast only if it has at most this many rows (of some tens of bytes).
-BROADCAST_ROWS = 500_000
-_shipped: set[str] = set()
-_scratch: list[str] = []
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors as a zip; once for each Spark application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), os.path.basename(top) + "_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only if that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="strandbase-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/strandbase/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove every table that stored() wrote; call it once their results are saved."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        p = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        p.getFileSystem(conf).delete(p, True)
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives as a stored table; the scratch tables that were written on the way are removed."""
+    before = set(store.written())
+    out = stored(make(), name)
+    *rest, _ = store.written()
+    store.drop(out.sparkSession, [p for p in rest if p not in before])
+    return out
 
 
 def per_row(df: DataFrame, make: Callable, fields: list[tuple[str, T.DataType]], keep: list[str], text: str = "text") -> DataFrame:
@@ -106,13 +68,3 @@ def sliced(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     step = max(1, -(-b.num_rows // n))
     for i in range(0, b.num_rows, step):
         yield b.slice(i, step)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows, found without counting beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is small; otherwise Spark's shuffled join (with skew handling) is used."""
-    return F.broadcast(df) if is_small(df, rows) else df

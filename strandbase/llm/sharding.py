@@ -1,17 +1,20 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows with equal texts are a group. Groups are found by a hash of the text (a clash only makes two groups
-share a place). Small groups are dealt by that hash into a fixed number of cells; groups above a fixed share
-of any total, of which there can only be a bounded number, are items of their own. A group too large for one
-shard is cut into cells by a hash of the row's id, each an item. Items, the largest first, go to the shard
-whose residual capacity has the greatest dot product with the item; moves and swaps of items then narrow the
-gap in bytes. What the driver sees is bounded by the parameters, whatever the table's size.
+share a place). Every group above a small share of a shard, of which there can only be a bounded number, is an
+item of its own; in a table of few groups that is every group. The groups below it are dealt by that hash into
+a fixed number of cells, each an item. A group too large for one shard is cut into cells by a hash of the row's
+number, each an item, so that identical rows part as well. Items, the largest first, go to the shard whose
+residual capacity has the greatest dot product with the item; moves and swaps of items then narrow the gap in
+bytes. What the driver sees is bounded by the parameters and one line for each ROWS_AT_ONCE rows.
 
 The law is `bytes`: the shards' sizes are near equal. Equal texts share a shard unless their group alone is
-more than one shard can hold.
+more than one shard can hold. Tokens are the pre-tokens that byte-level BPE cuts a text into.
 
-Defined cases: a null text has no bytes (size 8, checksum 0) and is one group; repeated rows are placed one
-by one; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null text has no bytes (size 8, checksum 0) and is one group; a null id is an id like others;
+repeated rows are placed one by one; ties between shards go to the first, between items to the one of the
+lower number; very long texts are groups of their own; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +27,19 @@ from . import common
 
 SHARDS = 24
 #: Cells that small groups are dealt into, and the share of a shard above which a group is an item.
-CELLS, LARGE = 8192, 1 / 64
+CELLS, LARGE = 8192, 1 / 512
 #: Row cells of each group that is itself more than a shard, for each shard's worth of it.
 SPLIT = 64
 ROUNDS = 4000
+#: Rows that one task numbers; an item of more is numbered in parts.
+ROWS_AT_ONCE = 1 << 20
+#: Pre-tokens of byte-level BPE, a fixed value but for the contractions, which stand with the words here.
+PRE_TOKENS = r"\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]+"
 
 
 def tokens_of(text: str) -> Column:
-    """Words, as runs between spaces: a stand-in for tokens that needs no tokenizer."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, " ", "")) + 1).cast("long")
+    """How many pre-tokens a text has; null has none."""
+    return F.expr(f"coalesce(regexp_count(`{text}`, '{PRE_TOKENS}'), 0)").cast("long")
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -88,8 +94,9 @@ def assign(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: in
         F.crc32(t).alias("text_crc32"),
         (tokens_of(text) if tokens is None else tokens).cast("long").alias("n_tokens"),
         F.xxhash64(F.col(f"`{text}`").isNull(), t).alias("group"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = common.stored(rows, "rows")
+    rows = common.stored(rows, "rows")  # from here on a row's number is fixed
     sums = [F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")]
     total = rows.agg(*sums).first()
     if not total["n"]:
@@ -98,41 +105,42 @@ def assign(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: in
     share = F.greatest(*(F.col(c) / F.lit(f) for c, f in zip(("b", "t", "n"), fair, strict=True)))
     # at most 3 * shards / LARGE groups can be as large as this
     large = rows.groupBy("group").agg(*sums).select("group", share.alias("share")).where(F.col("share") > LARGE).collect()
-    number = {r["group"]: (k, max(1, int(np.ceil(r["share"])) * SPLIT) if r["share"] > 1 else 1) for k, r in enumerate(sorted(large, key=lambda r: r["group"]))}
-    # an item is a cell of small groups, a large group, or a cell of one that must be cut; a unit is what
-    # slots are counted in: a cell, so that no window holds more than a bounded share of the rows
-    at, first, spec = cells, {}, []
-    for g, (k, parts) in number.items():
-        first[g] = at
-        spec.append((g, at, parts, max(parts, SPLIT)))
-        at += max(parts, SPLIT)
+    at, spec = cells, []
+    for r in sorted(large, key=lambda r: r["group"]):
+        parts = int(np.ceil(r["share"])) * SPLIT if r["share"] > 1 else 1
+        spec.append((r["group"], at, parts))
+        at += parts
     spark = df.sparkSession
+    by_row = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("row")), n)
     small = F.pmod(F.xxhash64(F.lit(1), F.col("group")), F.lit(cells))
     if spec:
-        big = F.broadcast(spark.createDataFrame(spec, "group long, first long, parts long, units long"))
-        rows = rows.join(big, "group", "left")
-        salt = F.pmod(F.xxhash64(F.lit(2), F.col("doc_id"), F.col("text_crc32")), F.col("units"))
-        rows = rows.withColumn("unit", F.coalesce(F.col("first") + salt, small))
+        big = F.broadcast(spark.createDataFrame(spec, "group long, first long, parts long"))
+        rows = rows.join(big, "group", "left").withColumn("item", F.coalesce(F.col("first") + by_row(2, F.col("parts")), small))
     else:
-        rows = rows.withColumn("unit", small)
-    counted = {r["unit"]: (r["b"], r["t"], r["n"]) for r in rows.groupBy("unit").agg(*sums).collect()}
-    whole = {first[g] + i: first[g] for g, (_, parts) in number.items() if parts == 1 for i in range(SPLIT)}
-    units = sorted(counted)
-    keys = [whole.get(u, u) for u in units]
-    item = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-    of = np.array([item[k] for k in keys])
-    items = np.zeros((len(item), 3))
-    np.add.at(items, of, np.array([counted[u] for u in units], np.float64))
+        rows = rows.withColumn("item", small)
+    counted = sorted(tuple(r) for r in rows.groupBy("item").agg(*sums).collect())
+    items = np.array([c[1:] for c in counted], np.float64)
     where = level(items, place(items, shards), shards)
-    used = [0] * shards
-    plan = []
-    for u, i in zip(units, of.tolist(), strict=True):
-        s = int(where[i])
-        plan.append((u, s, used[s]))
-        used[s] += counted[u][2]
-    plan = F.broadcast(spark.createDataFrame(plan, "unit long, shard int, before long"))
-    order = Window.partitionBy("unit").orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("at", F.row_number().over(order)).join(plan, "unit").select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
+    # units are what slots are counted in: an item, or parts of one with many rows
+    units, at = [], 0
+    for (item, _, _, n), s in zip(counted, where.tolist(), strict=True):
+        parts = -(-n // ROWS_AT_ONCE)
+        units.append((item, s, at, parts))
+        at += parts
+    rows = rows.join(F.broadcast(spark.createDataFrame(units, "item long, shard int, unit_first long, unit_parts long")), "item")
+    rows = rows.withColumn("unit", F.col("unit_first") + by_row(3, F.col("unit_parts")))
+    if at == len(units):
+        sizes = {u: n for u, (_, _, _, n) in enumerate(counted)}
+    else:
+        sizes = {r["unit"]: r["n"] for r in rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    used, before = [0] * shards, []
+    for _, s, first, parts in units:
+        for u in range(first, first + parts):
+            before.append((u, used[s]))
+            used[s] += sizes.get(u, 0)
+    rows = rows.join(F.broadcast(spark.createDataFrame(before, "unit long, before long")), "unit")
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy("row"))
+    return rows.select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("before") + nth - 1).alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
