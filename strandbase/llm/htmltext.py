@@ -1,7 +1,7 @@
 """HTML extraction: a tree-structured graphical model over DOM nodes, solved by sum-product messages.
 
 Every element is a node with two states, content or not. Its evidence is a set of discrete features (tag,
-words of its class, id and role, link density, text length, punctuation); each edge couples a child's state
+words of its class, id and role, link density, text length); each edge couples a child's state
 with its parent's through a table for the child's kind of element. Messages pass upward from the leaves and
 downward from the root, which gives every node's exact marginal. Text whose element is content with more than
 half the mass is kept. Evidence and tables are smoothed counts from labelled pages; make_pages() writes such
@@ -11,8 +11,13 @@ Scripts, styles, comments, forms and the like hold no text at all. Decoded chara
 space follow the contract: runs of white space inside a block are one space, blocks are trimmed and joined by
 one newline, empty blocks vanish.
 
+The parser reads a page once, whatever its tags: what it must know of the open elements it keeps in stacks. A
+tag ends at the first > outside quotes. If one tag of a page never does, this and all later tags of the page end
+at the first >; where there is none, the rest is text.
+
 Defined cases: null or empty html gives the empty text; unclosed and stray tags are repaired; repeated rows
-are extracted one by one; nothing is cut from long pages.
+are extracted one by one; nothing is cut from long pages; an element is kept if its mass is above one half, so
+a tie is dropped; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import math
 import random
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,14 +35,17 @@ from pyspark.sql import types as T
 from . import common
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp noscript iframe template svg math select option button object canvas".split())
+_RAW = frozenset("script style textarea title xmp noscript iframe template svg select option button".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _ENDS_P = _BLOCK - frozenset("body html caption tbody td tfoot th thead tr".split())
+#: Open elements that a new one of the same kind ends, and those that keep it from looking further up.
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
@@ -52,68 +60,105 @@ class Node:
         self.children = 0
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, slash, name, attributes) of each piece of markup; the name of a comment and the like is empty.
+
+    Whoever reads may send a place from which to go on.
+    """
+    at, size, quoted = 0, len(page), True
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            return
+        follow = page[begin + 1 : begin + 4]
+        slash = name = attributes = ""
+        if follow == "!--":
+            end = page.find("-->", begin + 4)
+            end = size if end < 0 else end + 3
+        elif follow[:1] in ("!", "?"):
+            end = page.find(">", begin) + 1
+            if not end:
+                return  # no tag can end any more
+        else:
+            m = _NAME.match(page, begin + 1)
+            if m is None:
+                at = begin + 1
+                continue
+            close = _TAG_END.match(page, m.end()) if quoted else None
+            if close is None:
+                quoted = False
+                end = page.find(">", m.end()) + 1
+                if not end:
+                    return
+            else:
+                end = close.end()
+            slash, name, attributes = m[1], m[2].lower(), page[m.end() : end - 1]
+        at = (yield begin, end, slash, name, attributes) or end
+
+
+def unescape(text: str) -> str:
+    """Character references decoded; numbers too long for a code point give the replacement character."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     """Nodes, parents first, and in page order what they hold: (node, text, whether it only marks a block's edge)."""
     nodes, runs = [Node("#root", -1)], []
     path = [0]
-    at, size = 0, len(page)
+    depths: dict[str, list[int]] = defaultdict(list)  # where each tag's open elements stand on the path
+    blocks: list[int] = []  # where the open blocks do
+    endless: set[str] = set()  # raw elements that don't end on the rest of the page
 
     def text(a: int, b: int) -> None:
         if b > a:
             k = path[-1]
-            piece = page[a:b]
-            runs.append((k, html.unescape(piece) if "&" in piece else piece, False))
+            runs.append((k, unescape(page[a:b]), False))
             nodes[k].own += b - a
 
     def leave(depth: int) -> None:
         while len(path) > depth:
             k = path.pop()
-            if nodes[k].tag in _BLOCK:
+            tag = nodes[k].tag
+            depths[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
                 runs.append((k, "", True))
 
-    while at < size:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            text(at, size)
+    def innermost(tags: set[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+    at = 0
+    pieces = markup(page)
+    go_on = None
+    while True:
+        try:
+            begin, end, slash, tag, attributes = pieces.send(go_on)
+        except StopIteration:
             break
-        text(at, m.start())
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        go_on = None
+        text(at, begin)
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for d in range(len(path) - 1, 0, -1):
-                if nodes[path[d]].tag == tag:
-                    leave(d)
-                    break
+        if slash:
+            if depths.get(tag):
+                leave(depths[tag][-1])
             continue
-        if tag in _ENDS_P:
-            for d in range(len(path) - 1, 0, -1):
-                t = nodes[path[d]].tag
-                if t == "p":
-                    leave(d)
-                    break
-                if t in _BLOCK:
-                    break
+        if tag in _ENDS_P and blocks and nodes[path[blocks[-1]]].tag == "p":
+            leave(blocks[-1])
         if tag in _ENDED_BY:
-            for d in range(len(path) - 1, 0, -1):
-                t = nodes[path[d]].tag
-                if t in _ENDED_BY[tag]:
-                    leave(d)
-                    break
-                if t in _FENCE[tag]:
-                    break
-        if tag in ("body", "head") and any(nodes[k].tag == tag for k in path):
+            near = innermost(_ENDED_BY[tag])
+            if near > innermost(_FENCE[tag]):
+                leave(near)
+        if tag in ("body", "head") and depths.get(tag):
             continue
-        if tag == "body":
-            for d in range(len(path) - 1, 0, -1):
-                if nodes[path[d]].tag == "head":
-                    leave(d)
-                    break
+        if tag == "body" and depths.get("head"):
+            leave(depths["head"][-1])
         names: tuple[str, ...] = ()
-        if m[3] and not m[3].isspace():
-            names = tuple(w for a in _ATTRIBUTE.finditer(m[3]) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()))
+        if attributes and not attributes.isspace():
+            names = tuple(w for a in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()))
         if tag in _VOID:
             runs.append((path[-1], " ", tag == "hr"))
             continue
@@ -123,13 +168,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         if tag in _BLOCK:
             runs.append((k, "", True))
         if tag in _RAW:  # its text is nobody's
-            if m[3].rstrip().endswith("/"):
+            if attributes.rstrip().endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else (size if tag in ("script", "style") else at)
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*+>", re.IGNORECASE).search(page, at)
+            if close is None:
+                endless.add(tag)
+                if tag in ("script", "style"):
+                    at = len(page)
+                    break
+            else:
+                at = go_on = close.end()
             continue
+        depths[tag].append(len(path))
+        if tag in _BLOCK:
+            blocks.append(len(path))
         path.append(k)
-    leave(0)
+    text(at, len(page))
+    leave(1)
     for k in range(len(nodes) - 1, 0, -1):
         n = nodes[k]
         n.inner += n.own
