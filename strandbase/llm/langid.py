@@ -5,11 +5,15 @@ frequency, ties by code. Its distance to a language is the sum, over the text's
 far each stands from its rank in the language's profile; an absent n-gram costs `size`. The least distance
 wins, ties by the language's name.
 
-Profiles are learned from a bounded sample: for each language, the `sample_docs` labelled documents with the
-lowest hash of their id. Prediction reads whole texts and nothing else.
+Profiles are learned from a bounded sample: for each of the `max_langs` most frequent languages, the
+`sample_docs` labelled documents with the lowest hash of their id and text. Prediction reads whole texts and
+nothing else.
 
 Defined cases: a null text or one without a letter gives 'und' and score 0; so does every text if nothing
-could be learned; rows with a null lang teach nothing; repeated rows each get their own prediction.
+could be learned; rows with a null lang teach nothing, rows with a null id do; repeated rows teach once and
+each get their own prediction; very long texts are counted in blocks; languages beyond `max_langs` are not
+learned, of equally frequent ones the later by name; an empty table gives no rows and teaches nothing; extra
+columns are ignored by identify() and kept by keep_known(), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 from . import common
 
 SIZE = 400
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, MAX_LANGS = 400, 256
 #: Characters counted at once, so that a very long text needs little memory.
 BLOCK = 1 << 20
 _is_letter: np.ndarray | None = None
@@ -39,13 +43,13 @@ def _letters() -> np.ndarray:
 
 
 def _block_counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams of a row of letters with single spaces (0) between words."""
-    a = points.astype(np.int64) + 1
-    a[points == 32] = 0
+    """Codes and counts of the n-grams of a row of letters with single spaces (1, so that no code begins with 0) between words."""
+    a = points.astype(np.int64) + 2
+    a[points == 32] = 1
     two = (a[:-1] << 21) | a[1:]
-    two = two[(a[:-1] != 0) | (a[1:] != 0)]
-    three = ((a[:-2] << 42) | (a[1:-1] << 21) | a[2:])[a[1:-1] != 0]
-    return np.unique(np.concatenate((a[a != 0], two, three)), return_counts=True)
+    two = two[(a[:-1] != 1) | (a[1:] != 1)]
+    three = ((a[:-2] << 42) | (a[1:-1] << 21) | a[2:])[a[1:-1] != 1]
+    return np.unique(np.concatenate((a[a != 1], two, three)), return_counts=True)
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,22 +113,24 @@ class Profiles:
         return self.langs[k], float(1 - d[k]), dict(zip(self.langs, (1 - d).tolist(), strict=True))
 
 
-def learn(df: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SIZE, sample_docs: int = SAMPLE_DOCS) -> Profiles:
+def learn(df: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SIZE, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS) -> Profiles:
     """Profiles from df's rows where `train` holds and lang isn't null.
 
-    The sample is chosen on ids and labels alone; only its texts are then counted. What reaches the driver is
-    `size` n-grams for each language.
+    The sample is chosen on hashes and labels; only its texts are then counted. It has at most sample_docs *
+    max_langs texts, which bounds what is broadcast; what reaches the driver is `size` n-grams for each language.
     """
     common.ship(df.sparkSession)
     rows = df.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.where(train) if train is not None else rows
-    rows = rows.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    keys = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("string").alias("id"))
+    rows = rows.select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    keys = rows.select("lang", "h")
     # each language's share of hashes holds about twice the sample, so that ranking sees few rows of any language
-    share = keys.groupBy("lang").agg((F.lit(2.0 * sample_docs) / F.count(F.lit(1))).alias("share"))
-    near = keys.join(common.maybe_broadcast(share), "lang").where((F.col("h") / 2.0**63 + 1) / 2 < F.col("share"))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("id", "lang").distinct()
+    common_ = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    share = F.broadcast(common_.select("lang", (F.lit(2.0 * sample_docs) / F.col("n")).alias("share")))
+    near = keys.join(share, "lang").where((F.col("h") / 2.0**63 + 1) / 2 < F.col("share")).distinct()
+    chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs).select("lang", "h")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def count(batches):
         for b in batches:
@@ -132,7 +138,7 @@ def learn(df: DataFrame, train: Column | None = None, doc_id: str = "doc_id", te
                 codes, counts = ngram_counts(str(t, "utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
-    counts = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, code long, n long")
+    counts = sample.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, code long, n long")
     ranked = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")))
     by_lang: dict[str, list[int]] = {}
     for r in sorted(ranked.where(F.col("r") <= size).collect(), key=lambda r: r["r"]):

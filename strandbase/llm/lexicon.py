@@ -2,34 +2,40 @@
 
 A first pass over all texts finds frequent words (pre-tokens after normalisation). They and their ids are
 compiled into a minimal acyclic automaton that shares suffixes; a path through it adds up to the word's
-number, and the number gives the ids. The automaton is one run of bytes: broadcast, written to a file by each
-worker and memory-mapped. Words that it doesn't hold are merged exactly. Texts of the scripts in PLAIN are
+number, and the number gives the ids. The automaton is one file, which Spark gives to each executor once and all
+its workers map into memory. Words that it doesn't hold are merged exactly; a bounded cache holds what a worker
+has found either way. Texts of the scripts in PLAIN are
 cut by one pattern; others are normalised and cut by the library between their spaces, which no word crosses.
 Texts of added tokens are taken out first, as the library does.
 
 Decoding joins the ids' pieces by the model's decoder; word_bpe_49k.json names none, so pieces are joined by
 one space, as the library does.
 
+Tokenizers of another build than word_bpe_49k.json's (its normalizer, cut and added tokens) are refused.
+
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded one
-by one; a very long text is handled word by word.
+by one; a very long text is handled word by word; of equally frequent words any may be in the lexicon, which
+changes no id; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import atexit
 import functools
 import hashlib
 import mmap
 import os
 import re
+import shutil
 import struct
 import tempfile
 import unicodedata
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
@@ -116,13 +122,14 @@ def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled transducer, read through a memory map."""
-
-    def __init__(self, blob: bytes) -> None:
-        with tempfile.TemporaryFile() as f:  # a worker's own scratch file: gone when the map is
-            f.write(blob)
-            f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    """A compiled transducer, from its bytes or the path of a file that is mapped into memory."""
+
+    def __init__(self, source: bytes | str) -> None:
+        if isinstance(source, bytes):
+            self.map = source
+        else:
+            with open(source, "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if self.map[:4] != _MAGIC:
             raise ValueError("not a lexicon")
         self.longest, *sizes = struct.unpack("<8I", self.map[4:36])
@@ -172,6 +179,18 @@ def latin_cut(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]))
 
 
+def is_word_level(spec: dict) -> bool:
+    """Whether a tokenizer's file says what Codec relies on: NFC, white space to one space, lower case; words cut by a pattern; plain added tokens."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    white = [s.get("content") for s in steps if s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"}]
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    cut = split.get("type") == "Split" and "Regex" in split["pattern"] and split["behavior"] == "Removed" and split["invert"]
+    letters = [s["type"] for s in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0].get("use_regex", True)
+    plain = not any(t[k] for t in spec["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word"))
+    model = spec["model"]
+    return [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and white == [" "] and cut and letters and plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback"))
+
+
 class Codec:
     """Encodes single words as the library does, from the tokenizer's own file."""
 
@@ -186,6 +205,8 @@ class Codec:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not is_word_level(spec):
+            raise ValueError("the lexicon serves tokenizers that normalise, cut and merge words as word_bpe_49k.json does")
         self.model = self.library.model
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -203,7 +224,7 @@ class Codec:
 
     def words(self, text: str) -> list[str]:
         """The text's words: normalised pre-tokens and added tokens, in order."""
-        if self.special is not None and "<|" in text and self.special.search(text):
+        if any(a in text for a in self.added):
             parts = self.special.split(text)
             return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.words(p))]
         if self.cut is not None and PLAIN.fullmatch(text):
@@ -231,13 +252,13 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _worker(path: str, blob, size: int) -> dict[str, tuple[int, str, str]]:
+def _worker(path: str, name: str, size: int) -> dict[str, tuple[int, str, str]]:
     """A word's number of ids, its ids and its pieces, each joined by a space, kept in a bounded cache."""
 
     class Known(dict):
         def __init__(self) -> None:
             super().__init__()
-            self.lexicon, self.codec = Lexicon(blob.value), codec(path)
+            self.lexicon, self.codec = Lexicon(SparkFiles.get(name)), codec(path)
 
         def __missing__(self, word: str) -> tuple[int, str, str]:
             ids = self.lexicon.get(word)
@@ -255,13 +276,13 @@ def _worker(path: str, blob, size: int) -> dict[str, tuple[int, str, str]]:
 _workers: dict[tuple, dict] = {}
 
 
-def _make(path: str, blob, size: int, full: bool) -> Callable:
-    key = (path, size, uuid.uuid4().hex)
+def _make(path: str, name: str, size: int, full: bool) -> Callable:
+    key = (path, size, name)
 
     def make() -> Callable:
         if key not in _workers:  # a worker's next tasks find what it has learned; one cache at a time
             _workers.clear()
-            _workers[key] = _worker(path, blob, size)
+            _workers[key] = _worker(path, name, size)
         known = _workers[key]
 
         def one(text: bytes | None) -> tuple:
@@ -287,12 +308,24 @@ def _words(path: str, text: str) -> list[str]:
     return codec(path).words(text)
 
 
+def given_out(spark: SparkSession, blob: bytes) -> str:
+    """The name under which every executor finds the bytes as a file; Spark copies it to those that come later, too."""
+    name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:32]}"
+    own = tempfile.mkdtemp()  # the driver's copy, which Spark serves
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    with open(os.path.join(own, name), "wb") as f:
+        f.write(blob)
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(os.path.join(own, name))
+    return name
+
+
 def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", full: bool = True, size: int = WORDS, cache: int = CACHE) -> DataFrame:
     """Columns `keep`, n_tokens and either ids and decoded, or (not full) their SHA-256 digests."""
-    blob = df.sparkSession.sparkContext.broadcast(build(df, path, text, size))
+    name = given_out(df.sparkSession, build(df, path, text, size))
     fields = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.LongType())), ("decoded", T.StringType())]
     digests = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return common.per_row(df, _make(path, blob, cache, full), fields if full else digests, keep, text)
+    return common.per_row(df, _make(path, name, cache, full), fields if full else digests, keep, text)
 
 
 def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:

@@ -3,12 +3,14 @@
 A payload is written by the wave module as 8-bit mono samples and read back by it. Short-time Fourier
 transforms of the samples give a magnitude picture; a bin is a peak if it is the greatest of its band in its
 frame and stands out from the frame's mean. Frames overlap, and the first one begins `LEAD` samples before the
-payload, so that every sample stands near the middle of some frame's window. Each peak is paired with the other
-peaks of its frame and those of the next `REACH` frames; a pair's code holds both bins and the time between, and
-its time code is its first peak's frame.
+payload, so that every sample stands near the middle of some frame's window. Each peak is paired with the next
+`FAN` peaks, those of its own frame first, up to `REACH` frames later; a pair's code holds both bins and the time
+between, and its time code is its first peak's frame. The arrays of time codes and codes are columns.
 
 Defined cases: a null text is an empty payload, padded to 64 zero bytes; silent payloads (all samples 128) have
-no pairs; equal payloads have equal values; a very long payload is transformed in blocks of frames.
+no pairs; of equally high bins the lowest is the peak; equal payloads have equal values, so repeated rows do; a
+very long payload is transformed in blocks of frames; an empty table gives no rows; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ FRAME, HOP = 512, 128
 LEAD = FRAME - HOP
 #: Edges of the bands of frequency bins that give one peak each in a frame.
 BANDS = (1, 8, 24, 64, 128, 257)
-#: Frames behind a peak with which it is paired: 1536 samples.
-REACH = 12
+#: Frames behind a peak in which it is paired (1536 samples), and with how many peaks there.
+REACH, FAN = 12, 4
 #: Frames transformed at once.
 BLOCK = 2048
 
@@ -83,23 +85,22 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(frames_found), np.concatenate(bins_found)
 
 
-def pairs(frames: np.ndarray, bins: np.ndarray, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Time codes and codes of all pairs of a peak with the peaks of the REACH frames behind it; with `inside` also within its frame."""
-    if not len(frames):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.arange(1, len(frames) + 1) if inside else np.searchsorted(frames, frames, side="right")
-    end = np.searchsorted(frames, frames + REACH, side="right")
-    n = end - begin
-    first = np.repeat(np.arange(len(frames)), n)
-    second = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    return frames[first], (bins[first] << 20) | (bins[second] << 8) | (frames[second] - frames[first])
+def pairs(frames: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time codes and codes of all pairs of a peak with the next FAN peaks that are at most REACH frames behind it."""
+    at = np.arange(len(frames))
+    end = np.minimum(np.searchsorted(frames, frames + REACH, side="right"), at + 1 + FAN)
+    n = end - at - 1
+    first = np.repeat(at, n)
+    second = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first + 1
+    codes = (bins[first] << 13) | (bins[second] << 4) | (frames[second] - frames[first])
+    return frames[first].astype(np.int32), codes.astype(np.int32)
 
 
 def _make() -> Callable:
     def one(text: bytes | None) -> tuple:
         stored = to_wav(payload_of(text))
         payload = from_wav(stored)
-        times, codes = pairs(*peaks(np.frombuffer(payload, np.uint8)), inside=True)
+        times, codes = pairs(*peaks(np.frombuffer(payload, np.uint8)))
         return len(text or b""), stored, payload, times, codes
 
     return lambda texts: (one(t) for t in texts)  # one text's arrays at a time
@@ -112,9 +113,9 @@ def _columns(full: bool) -> Callable:
         def f(texts: list[bytes | None]) -> list[list]:
             out = []
             for n, stored, payload, times, codes in one(texts):
-                digest = hashlib.sha1(times.astype("<i8").tobytes() + codes.astype("<i8").tobytes()).hexdigest()
+                digest = hashlib.sha1(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
                 row = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(codes)}:{digest}")
-                out.append((*row, stored, times, codes) if full else row)
+                out.append((*row, times, codes, stored) if full else (*row, times, codes))
             return [list(c) for c in zip(*out, strict=True)]
 
         return f
@@ -126,12 +127,13 @@ DIGESTS = [
     ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
     ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()),
 ]
-MEDIA = [("media", T.BinaryType()), ("times", T.ArrayType(T.LongType())), ("codes", T.ArrayType(T.LongType()))]
+ARRAYS = [("times", T.ArrayType(T.IntegerType())), ("codes", T.ArrayType(T.IntegerType()))]
+MEDIA = [("media", T.BinaryType())]
 
 
 def media_columns(df: DataFrame, keep: list[str], text: str = "text", full: bool = True) -> DataFrame:
-    """Columns `keep`, digests, and with `full` the WAV bytes and the time-coded arrays of every row."""
-    return common.per_row(df, _columns(full), DIGESTS + MEDIA * full, keep, text)
+    """Columns `keep`, digests, the time-coded arrays and with `full` the WAV bytes of every row."""
+    return common.per_row(df, _columns(full), DIGESTS + ARRAYS + MEDIA * full, keep, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

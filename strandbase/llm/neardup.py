@@ -1,11 +1,13 @@
 """N-gram Jaccard join: MinHash banding, band hashes shuffled, pairs verified on full n-gram sets.
 
-Texts are lower-cased and cut into words (letters and digits); a text's set holds the 64-bit hashes of its
+Texts are lower-cased and cut into words (letters and digits; in scripts without spaces, each letter is a word
+of its own); a text's set holds the 64-bit hashes of its
 runs of `n` words, or of all its words if it has fewer. Rows with equal sets form one set row, so copies
 never meet pair by pair. Bands and rows are chosen from the threshold and a target recall. Set rows are
 shuffled on their band hashes; buckets of two or more are cut into blocks of bounded size, every pair of
 blocks goes to a task, and there all pairs are verified at once by products of incidence matrices. A pair is
-verified only in the first band where it meets, and no pair is ever a row: a task yields, for each set, how
+verified only in the first band where it meets: sets all of whose pairs met before are put aside first, so a
+large group that stays together from band to band is compared once. No pair is ever a row: a task yields, for each set, how
 many rows it is linked to, and a spanning forest of the links. Classes are the connected components of those
 forests, found by rounds of large-star and small-star steps over the edge table.
 
@@ -42,6 +44,8 @@ HOT_SETS = 4096
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 2048
 _SPACED = re.compile(r"[\W_]+")
+#: Letters of scripts that put no spaces between words: Thai and Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: tuple[int, ...] = (4, 5, 3, 2, 1)) -> tuple[int, int]:
@@ -75,7 +79,10 @@ class Grams:
 
     def grams(self, text: bytes | None) -> np.ndarray:
         """The text's set: distinct n-gram hashes, ascending."""
-        words = _SPACED.sub(" ", str(text or b"", "utf-8", "replace").lower()).split(" ")
+        low = str(text or b"", "utf-8", "replace").lower()
+        if not low.isascii() and _UNSPACED.search(low):
+            low = _UNSPACED.sub(r" \1 ", low)
+        words = _SPACED.sub(" ", low).split(" ")
         words = [w for w in words if w]
         if not words:
             return np.zeros(0, np.uint64)
@@ -220,15 +227,22 @@ def _verify(threshold: float):
                 continue
             rows.sort(key=lambda r: r[4])
             band, _, i, j = rows[0][:4]
-            fps = [r[4] for r in rows]
-            found = similar([np.frombuffer(r[8], np.uint64) for r in rows], threshold)
-            if found.any() and band:
+            new = np.ones((len(rows), len(rows)), bool)
+            np.fill_diagonal(new, False)
+            if i != j:
+                block = np.array([r[5] for r in rows])
+                new &= block[:, None] != block[None, :]
+            if band:
                 bands = np.array([r[7][:band] for r in rows], np.int64)
                 for k in range(band):  # met before: verified there
-                    found &= bands[:, k][:, None] != bands[:, k][None, :]
-            if found.any() and i != j:
-                block = np.array([r[5] for r in rows])
-                found &= block[:, None] != block[None, :]
+                    new &= bands[:, k][:, None] != bands[:, k][None, :]
+            some = new.any(axis=1)
+            if not some.any():
+                continue
+            if not some.all():
+                rows, new = [r for r, y in zip(rows, some.tolist(), strict=True) if y], new[np.ix_(some, some)]
+            fps = [r[4] for r in rows]
+            found = similar([np.frombuffer(r[8], np.uint64) for r in rows], threshold) & new
             if not found.any():
                 continue
             weight = np.array([r[6] for r in rows], np.int64)

@@ -6,12 +6,14 @@ the offset and cuts each document at the multiples of the sequence length; a doc
 yields one record for each sequence that it touches. Only the very last sequence can need padding: to the
 full length, unless its own length is a power of two.
 
-Defined cases: a null or empty text is the end id alone; a very long text fills many sequences; repeated rows
-are packed one by one; an empty table gives no pieces.
+Defined cases: a null or empty text is the end id alone; a null id is kept; a very long text fills many
+sequences; repeated rows are packed one by one, in the order of the scan; an empty table gives no pieces; extra
+columns are ignored, whatever their names. The driver holds one number for each input split.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,10 +36,17 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def is_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer's file says that pre-tokens are cut by PATTERN alone and merged by plain BPE."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return not spec.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and model.get("type") == "BPE" and plain
+
+
 class WordIds(dict):
     """Ids, as little-endian bytes, of a pre-token with its leading space; a bounded cache that only saves work.
 
-    Texts of the scripts that lexicon.PLAIN names are cut by one pattern. Others are cut where a single space
+    A tokenizer that isn't is_byte_level() encodes whole texts itself. Otherwise texts of the scripts that lexicon.PLAIN names are cut by one pattern. Others are cut where a single space
     stands between two characters that aren't white space, which no pre-token crosses, and encoded by the
     library, as are texts that hold an added token.
     """
@@ -50,6 +59,8 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.known = is_byte_level(json.load(f))
         self.model = self.library.model
         self.kind = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 65536 else "I"
         self.size = size
@@ -69,7 +80,7 @@ class WordIds(dict):
     def of(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(a in text for a in self.added):
+        if not self.known or any(a in text for a in self.added):
             return self.raw(text)
         if PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, self.cut.findall(text)))

@@ -1,11 +1,14 @@
 """Host-level quality rules: failures by host, rates shrunk by an empirical beta prior, verdicts joined back.
 
 Every document is measured once. A document fails a rule by its own figures. Failures are counted by host,
-a beta prior is fitted to the hosts' rates by the method of moments, and a host whose shrunk rate is above
-`host_limit` is rejected as a whole. A document is kept if it fails no rule and its host isn't rejected.
+a beta prior is fitted to the hosts' rates by the method of moments, and a host is rejected as a whole if its
+rate is above `host_limit` even two standard deviations below its posterior mean: few documents don't condemn a
+host, many do. A document is kept if it fails no rule and its host isn't rejected.
 
 Defined cases: a null or empty text has no words, so it fails the base rule; a null host is a host of its
-own; repeated rows are measured and counted one by one; an empty table gives an empty result.
+own; a rate that just meets the limit isn't above it; repeated rows are measured and counted one by one; very
+long texts are measured whole; an empty table gives an empty result; extra columns are ignored by quality() and
+kept by keep_good(), whatever their names.
 """
 
 from __future__ import annotations
@@ -101,7 +104,7 @@ def host_key(host: str) -> Column:
 
 
 def host_rates(failed: DataFrame) -> DataFrame:
-    """From (host, failed): host, n, bad, rate (shrunk).
+    """From (host, failed): host, n, bad, rate (the posterior mean) and least (two standard deviations below).
 
     The prior is a beta law with the mean m of the hosts' rates and the strength that the rates' variance
     v leaves once binomial noise is taken off: a + b = m(1 - m) / v - 1, held within 1 and 10,000.
@@ -112,15 +115,21 @@ def host_rates(failed: DataFrame) -> DataFrame:
     m = b / t if t else 0.0
     odd = m * (1 - m)
     strength = min(max(odd / max((v or 0.0) - odd * (inv or 0.0), 1e-9) - 1, 1.0), 10_000.0)
-    return hosts.select("host", "n", "bad", ((F.col("bad") + m * strength) / (F.col("n") + strength)).alias("rate"))
+    mean = (F.col("bad") + m * strength) / (F.col("n") + strength)
+    least = F.col("rate") - 2 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1))
+    return hosts.select("host", "n", "bad", mean.alias("rate")).withColumn("least", least)
 
 
 def rejected_hosts(failed: DataFrame, host_limit: float) -> DataFrame:
-    """(host) of the hosts whose shrunk failure rate is above host_limit, broadcast if they are few."""
-    return common.maybe_broadcast(host_rates(failed).where(F.col("rate") > host_limit).select("host", F.lit(True).alias("host_rejected")))
+    """(host) of the hosts whose failure rate is surely above host_limit, broadcast if they are few."""
+    return common.maybe_broadcast(host_rates(failed).where(F.col("least") > host_limit).select("host", F.lit(True).alias("host_rejected")))
 
 
-def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = 0.8, limits: dict | None = None) -> DataFrame:
+#: The failure rate above which a host is rejected.
+HOST_LIMIT = 0.5
+
+
+def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, limits: dict | None = None) -> DataFrame:
     """One row for each document: doc_id, figures, base_failed, failed (own rules), host_rejected, kept."""
     own = rules(**(limits or LIMITS))
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), host_key(host).alias("host"))
@@ -129,7 +138,7 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     return rows.join(bad, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~F.col("failed") & ~F.col("host_rejected"))
 
 
-def keep_good(df: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.8, limits: dict | None = None) -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, limits: dict | None = None) -> DataFrame:
     """The rows of df that quality() keeps, with df's own columns; no text is shuffled or joined by id.
 
     Texts are measured twice, once for the hosts' rates and once where rows are dropped, which costs less

@@ -52,7 +52,7 @@ WITH d AS (
 ), q AS (
   SELECT m, least(greatest(m * (1 - m) / greatest(var - m * (1 - m) * inv, 1e-9::DOUBLE) - 1, 1), 10000) AS s FROM p
 ), x AS (
-  SELECT host, (b + m * s) / (n + s) > 0.8::DOUBLE AS host_rejected FROM h, q
+  SELECT host, r - 2 * sqrt(r * (1 - r) / (n + s + 1)) > 0.5::DOUBLE AS host_rejected FROM (SELECT *, (b + m * s) / (n + s) AS r FROM h, q)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT failed AND NOT host_rejected AS kept, failed, host_rejected
