@@ -69,11 +69,11 @@ def test_alignment_matches_brute_force(spark, k):
     reads = [(i, f"r{i}", s) for i, s in enumerate([s for _, s in seqs] + [brute.dna(r, 30), "NNNNNNNNNN", "AC", "ACGTNACGTACGTNNACGTACG"])]
     df = spark.createDataFrame(reads, "qid long, name string, seq string")
     ids = {i: brute.sids(model, s, k) for i, _, s in reads}
-    for den in align.DENOMINATORS:
-        for t, m in ((0.0, 1), (0.5, 1), (0.7, 4), (1.0, 1)):
-            got = {x["qid"]: x["colors"] for x in align.threshold_align(index, df, t, den, m).collect()}
-            assert got == {i: brute.threshold(v, t, den, m) for i, v in ids.items()}
-    for m in (0, 1, 2, 3):
+    found = align.looked_up(index, df)
+    for den, t, m in (("all", 0.0, 1), ("all", 0.7, 4), ("relevant", 0.5, 1), ("relevant", 1.0, 1), ("max-hits", 0.7, 4), ("max-hits", 1.0, 1)):
+        got = {x["qid"]: x["colors"] for x in align.collected(df, align.threshold_pairs(index, found, t, den, m)).collect()}
+        assert got == {i: brute.threshold(v, t, den, m) for i, v in ids.items()}
+    for m in (0, 1, 2):
         got = {x["qid"]: x["colors"] for x in align.intersection_align(index, df, m).collect()}
         assert got == {i: brute.intersection(v, m, index.n_colors) for i, v in ids.items()}
     for x in align.threshold_align(index, df, 0.3, metrics=("kmer_hits", "bases_covered")).collect():
