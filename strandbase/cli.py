@@ -21,7 +21,7 @@ from .sources import sequences, sinks
 
 def _reads(spark: SparkSession, path: str | None) -> DataFrame:
     """The records of a file, or of standard input without one (or with -)."""
-    rows = sequences.read_sequences(spark, sequences.from_stdin(spark) if path in (None, "-") else path)
+    rows = sequences.read_in_order(spark, sequences.from_stdin(spark) if path in (None, "-") else path)
     return rows.withColumn("qid", F.col("ordinal"))
 
 

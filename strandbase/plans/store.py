@@ -30,16 +30,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str, ending: str = "") -> str:
+    """A new path in the shared folder, which drop() removes like a stored table."""
+    path = f"{scratch_dir(spark)}/strandbase/{name}-{uuid.uuid4().hex}{ending}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later rounds start from it, and lost executors don't matter."""
-    path = f"{scratch_dir(df.sparkSession)}/strandbase/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written() -> list[str]:
-    """The paths of the tables that stored() has written and nobody has dropped, oldest first."""
+    """The paths that scratch_path() has given and nobody has dropped, oldest first."""
     return list(_written)
 
 

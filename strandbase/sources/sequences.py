@@ -4,28 +4,36 @@ from __future__ import annotations
 
 import re
 import sys
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import name_token
-from ..plans.store import maybe_broadcast, scratch_dir
+from ..plans.store import maybe_broadcast, scratch_path, stored
 
 #: File name endings (before .gz) that tell the format; other files are told by their first character.
 FASTA, FASTQ = (".fa", ".fna", ".fasta", ".ffn", ".faa", ".frn"), (".fq", ".fastq")
 
 
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
 def qualified(spark: SparkSession, paths: list[str]) -> list[str]:
     """Paths as `source` names the files."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
-        out.append(re.sub("^file:/+", "file:/", at.getFileSystem(conf).makeQualified(at).toUri().toString()))
+        out.append(_plain(at.getFileSystem(conf).makeQualified(at).toUri().toString()).rstrip("/"))
     return out
 
 
+def files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files of the paths, folders opened, as `source` names them."""
+    return sorted({*map(_plain, spark.read.text(paths).inputFiles())})
+
+
 def _is_fastq(spark: SparkSession, path: str) -> bool:
     name = path.lower().rstrip("/").removesuffix(".gz")
     if name.endswith(FASTA) or name.endswith(FASTQ):
@@ -92,12 +100,23 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("source", "ordinal", "header", name_token(F.col("header")).alias("name"), "seq", "qual")
 
 
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """read_sequences() of one path; in a folder of part files, ordinal goes on from file to file by their names."""
+    rows = read_sequences(spark, path)
+    if len(files(spark, [path])) < 2:
+        return rows
+    sizes = rows.groupBy("source").agg((F.max("ordinal") + 1).alias("n"))
+    before = F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
+    starts = stored(sizes.select("source", F.coalesce(before, F.lit(0)).alias("before")), "files")
+    return rows.join(maybe_broadcast(starts), "source").withColumn("ordinal", F.col("ordinal") + F.col("before")).select(*rows.columns)
+
+
 def from_stdin(spark: SparkSession, stream=None, chunk: int = 1 << 20) -> str:
     """Copy standard input, piece by piece, to a file in the shared folder; its path."""
     stream = stream or sys.stdin.buffer
     head = stream.read(chunk)
     ending = (".fq" if head.lstrip().startswith(b"@") else ".fa") if head[:2] != b"\x1f\x8b" else ".gz"
-    path = f"{scratch_dir(spark)}/strandbase/stdin-{uuid.uuid4().hex}{ending}"
+    path = scratch_path(spark, "stdin", ending)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(conf).create(at)
@@ -116,17 +135,32 @@ def read_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def file_colors(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(color, seq) with one color for each file, and color_names; all files are one scan."""
+    """(color, seq) with one color for each path, and color_names; all files are one scan.
+
+    A folder's files have the folder's color. A path given twice has a color for each time.
+    """
     names = spark.createDataFrame(list(enumerate(paths)), "color_id long, name string")
     if not paths:
         return spark.createDataFrame([], "color long, seq string"), names
-    own = maybe_broadcast(spark.createDataFrame(list(enumerate(qualified(spark, paths))), "color long, source string"))
-    return read_sequences(spark, paths).join(own, "source").select("color", "seq"), names
+    given: dict[str, list[int]] = {}
+    for color, p in enumerate(qualified(spark, paths)):
+        given.setdefault(p, []).append(color)
+    pairs = []
+    for f in files(spark, paths):
+        at, own = f, list(given.get(f, []))
+        while "/" in at:
+            at = at.rpartition("/")[0]
+            own += given.get(at, [])
+        if not own:
+            raise ValueError(f"no given path holds {f}")
+        pairs += [(c, f) for c in own]
+    colors = maybe_broadcast(spark.createDataFrame(pairs, "color long, source string"))
+    return read_sequences(spark, paths).join(colors, "source").select("color", "seq"), names
 
 
 def sequence_colors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(color, seq) with one color for each record of one file, and color_names (the header's first word)."""
-    rows = read_sequences(spark, path)
+    """(color, seq) with one color for each record of a file, or of a folder's files, and color_names (the header's first word)."""
+    rows = read_in_order(spark, path)
     return rows.select(F.col("ordinal").alias("color"), "seq"), rows.select(F.col("ordinal").alias("color_id"), "name")
 
 

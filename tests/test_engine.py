@@ -246,6 +246,23 @@ def test_many_files_are_one_scan(spark, tmp_path):
     assert ix.build(seqs, 3, names).kmers.count() == 0
 
 
+def test_folders_of_part_files(spark, tmp_path):
+    path = tmp_path / "reads.fa"
+    path.mkdir()
+    for i in range(3):
+        (path / f"part-{i}").write_text(f">r{2 * i}\nACG\n>r{2 * i + 1}\nTTA\n")
+    (path / "part-3").write_text("")
+    got = sequences.read_in_order(spark, str(path)).orderBy("ordinal").select("ordinal", "name").collect()
+    assert [tuple(r) for r in got] == [(i, f"r{i}") for i in range(6)]
+    seqs, names = sequences.sequence_colors(spark, str(path))
+    assert sorted(r["color"] for r in seqs.collect()) == list(range(6)) and names.distinct().count() == 6
+    one = tmp_path / "one.fa"
+    one.write_text(">x\nGGG\n")
+    seqs, names = sequences.file_colors(spark, [str(one), str(path), str(path / "part-0")])
+    assert {r["color"] for r in seqs.where("seq = 'GGG'").collect()} == {0}
+    assert {r["color"] for r in seqs.where("seq = 'ACG'").collect()} == {1, 2} and names.count() == 3
+
+
 def test_one_color_is_a_color(spark):
     seqs = [(0, "ACGTA")]
     one = ix.build(frame(spark, seqs), 3)
