@@ -361,6 +361,19 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_word_cache_is_bounded_and_exact():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    words = packing.WordIds(path, 10)
+    r = random.Random(4)
+    for _ in range(400):
+        text = "".join(r.choice(["un", "heard", " ", "  ", "\n", "é", "12", "'s", ".", "東", "\x1c", "a b"]) for _ in range(r.randint(0, 30)))
+        assert np.frombuffer(words.of(text), np.uint16).tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(words) <= 10
+
+
 def test_lexicon(docs, empty):
     from tokenizers import Tokenizer
 
