@@ -91,6 +91,12 @@ def _packed(parts: list[tuple], width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[found], pa.int32()), pa.array(ends - found, pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "n", "runs"])
 
 
+def _marked(colors: pa.Array) -> np.ndarray:
+    """Colors as numbers of which 0 means none: those from 0 on are raised by one."""
+    c = colors.fill_null(0).to_numpy()
+    return np.where(colors.is_valid().to_numpy(zero_copy_only=False), c + (c >= 0), 0)
+
+
 def dealt(df: DataFrame, k: int, colors: list[str], seq: str = "seq", canonical: bool = True, spread: int | None = None) -> DataFrame:
     """(bucket, n, runs): packs of n runs of the sequences' k-mers. `colors` are a sequence's color in each index, null if it isn't in it.
 
@@ -113,7 +119,7 @@ def dealt(df: DataFrame, k: int, colors: list[str], seq: str = "seq", canonical:
             return int(n.sum())
 
         for b in batches:
-            own = np.stack([b.column(i).fill_null(-1).to_numpy() + 1 for i in range(width)])  # 0: not in that index
+            own = np.stack([_marked(b.column(i)) for i in range(width)])
             for i in np.flatnonzero(own.any(axis=0)).tolist():
                 s = b.column(width)[i].as_py()
                 if s is None or len(s) < k:
@@ -137,7 +143,7 @@ def dealt(df: DataFrame, k: int, colors: list[str], seq: str = "seq", canonical:
 
 
 def by_bucket(packs: DataFrame, k: int, width: int, canonical: bool, work: Callable[[np.ndarray, list[np.ndarray]], None], rest: Callable[[bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """work(k-mers, [colors + 1 in each index, 0 if it isn't in it]) for all k-mers of a bucket or of a part of one.
+    """work(k-mers, [colors in each index, as _marked() gives them]) for all k-mers of a bucket or of a part of one.
 
     What rest(last) gives goes to the result, after each bucket and at the task's end.
     """

@@ -41,19 +41,27 @@ def _grouped(ranks: np.ndarray, colors: np.ndarray) -> Lists:
 
 def built(ranks: np.ndarray, colors: np.ndarray) -> Lists:
     """The index of (rank, color) pairs in any order, which may repeat."""
-    top = int(colors.max(initial=0)) + 1
+    if not len(ranks):
+        return _grouped(ranks, colors)
+    known = None
+    if colors.min() < 0 or int(colors.max() + 1) * int(ranks.max() + 1) >= 1 << 63:
+        known, colors = np.unique(colors, return_inverse=True)
+    top = int(colors.max()) + 1
     pairs = np.sort(ranks * top + colors)
-    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
-    return _grouped(pairs // top, pairs % top)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+    return _grouped(pairs // top, pairs % top if known is None else known[pairs % top])
 
 
 def merged(parts: list[tuple[Lists, int]]) -> Lists:
     """Union of indexes in order, the colors of each shifted beyond those before it; lists are joined as they are."""
     if len(parts) == 1 and not parts[0][1]:
         return parts[0][0]
-    ranks = np.concatenate([np.repeat(x.ranks, x.sizes()) for x, _ in parts])
+    ranks, colors = (np.concatenate(x) for x in zip(*((np.repeat(x.ranks, x.sizes()), x.colors + shift) for x, shift in parts), strict=True))
     order = np.argsort(ranks, kind="stable")
-    return _grouped(ranks[order], np.concatenate([x.colors + shift for x, shift in parts])[order])
+    ranks, colors = ranks[order], colors[order]
+    if ((ranks[1:] == ranks[:-1]) & (colors[1:] <= colors[:-1])).any():  # shifted colors are among those before them
+        return built(ranks, colors)
+    return _grouped(ranks, colors)
 
 
 def _at(x: Lists, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +108,8 @@ def _counts(seqs: DataFrame, k: int, left: dict[str, int], right: dict[str, int]
         indexes = {}
         for name, c in zip(columns, colors, strict=True):
             c = c[order]
-            here = c > 0
-            indexes[name] = built(ranks[here], c[here] - 1)
+            here = c != 0
+            indexes[name] = built(ranks[here], c[here] - (c[here] > 0))
         a = merged([(indexes[name], shift) for name, shift in left.items()])
         if right is None:
             _count(into, "left", a)

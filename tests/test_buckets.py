@@ -165,3 +165,13 @@ def test_merge_indexes_stores_no_kmers(spark, tables):
     index = brute.build([(c if lang == "en" else c + 20, s) for c, lang, s in seqs], queries.K)
     assert {x["colors"]: x["n_kmers"] for x in queries.merge_indexes(spark, d).collect()} == collections.Counter(map(texts, index.values()))
     assert store.written() == before
+
+
+def test_colors_below_zero_and_beyond_what_a_product_holds(spark):
+    r = random.Random(6)
+    shared, own = dna(r, 40), [dna(r, 50) for _ in range(3)]
+    rows = [(shared, -5, None), (shared, 1 << 61, 7), (shared, 3, -9), (own[0], -5, None), (own[1], 0, -1), (own[2], 1 << 61, 0)]
+    df = spark.createDataFrame(rows, "seq string, x long, y long")
+    want = {(-9 + 20, -5, 27, 3, 1 << 61): 10, (-5,): 20, (0, 19): 20, (20, 1 << 61): 20}
+    want = {(tuple(sorted(c)),): n for c, n in want.items()}
+    assert tally(buckets.merged_sets(df, 31, {"x": 0, "y": 20}), "n") == want
